@@ -5,7 +5,7 @@ train = orders before ``TRAIN_END``, label = bought afterwards.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rankspark.functions.hashing import tie_key
 from rankspark.functions.scalar import content_score, pair_deltas
@@ -16,8 +16,15 @@ from rankspark.operators.ranking import rank_candidates
 TRAIN_END = "1999-09-01"
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, d: str, name: str, *cols: str) -> DataFrame:
-    df = spark.read.parquet(f"{d}/{name}.parquet")
+    """One of the given tables. The schema is inferred once per path and then passed to the reader."""
+    path = f"{d}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    df = spark.read.schema(_SCHEMAS[path]).parquet(path)
     return df.select(*cols) if cols else df
 
 
@@ -90,10 +97,11 @@ def _level_counts(pos: DataFrame, keys: list[str], name: str) -> DataFrame:
 def scored(spark, d) -> DataFrame:
     """Matrix with two train-only scores: context frequency and anchor frequency."""
     pos = train_positives(spark, d)
-    return (matrix(spark, d)
-            .join(_level_counts(pos, ["context", "candidate"], "score_a"), ["context", "candidate"], "left")
-            .join(_level_counts(pos, ["anchor", "candidate"], "score_b"), ["anchor", "candidate"], "left")
-            .na.fill(0.0, ["score_a", "score_b"]))
+    m = expand_candidates(query_table(spark, d), train_vocab(pos), test_positives(spark, d), carry=["freq"])
+    return (m.join(_level_counts(pos, ["anchor", "candidate"], "score_b"), ["anchor", "candidate"], "left")
+            .select("query_id", "anchor", "context", "candidate", "label",
+                    F.col("freq").cast("double").alias("score_a"),
+                    F.coalesce("score_b", F.lit(0.0)).alias("score_b")))
 
 
 SCORED = """cc AS (SELECT context, candidate, count(*)::DOUBLE AS score_a FROM pos GROUP BY ALL),
@@ -122,6 +130,15 @@ def _bit(c: str):
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), pos)
 
 
+def _cents_avg(c: str):
+    """Mean of a two-digit decimal column through whole cents: the same for any order of addition."""
+    return F.sum(F.round(F.col(c) * 100).cast("bigint")).cast("double") / (F.count(c) * 100.0)
+
+
+def cents_sql(c: str) -> str:
+    return f"sum(round({c}*100)::BIGINT)::DOUBLE/(count({c})*100.0::DOUBLE)"
+
+
 def candidate_profile(spark, d) -> DataFrame:
     """Per candidate: packed word set of its part names and five properties."""
     p = purchases(spark, d).where("is_train")
@@ -129,9 +146,8 @@ def candidate_profile(spark, d) -> DataFrame:
         F.bit_or(_bit("p_name")).alias("c_bits"),
         F.max("p_size").cast("double").alias("c1"),
         F.countDistinct("p_brand").cast("double").alias("c2"),
-        F.round(F.avg("p_retailprice"), 4).alias("c3"),
-        F.round(F.avg("l_discount"), 4).alias("c4"),
-        F.round(F.avg("l_quantity"), 4).alias("c5"))
+        _cents_avg("p_retailprice").alias("c3"), _cents_avg("l_discount").alias("c4"),
+        _cents_avg("l_quantity").alias("c5"))
 
 
 def query_profile(spark, d) -> DataFrame:
@@ -140,9 +156,8 @@ def query_profile(spark, d) -> DataFrame:
         F.bit_or(_bit("p_name")).alias("q_bits"),
         F.max("p_size").cast("double").alias("q1"),
         F.countDistinct("p_brand").cast("double").alias("q2"),
-        F.round(F.avg("p_retailprice"), 4).alias("q3"),
-        F.round(F.avg("l_discount"), 4).alias("q4"),
-        F.round(F.avg("l_quantity"), 4).alias("q5"))
+        _cents_avg("p_retailprice").alias("q3"), _cents_avg("l_discount").alias("q4"),
+        _cents_avg("l_quantity").alias("q5"))
 
 
 def featured(spark, d, base: DataFrame | None = None) -> DataFrame:
@@ -163,8 +178,8 @@ def _sql_profile(key: str, letter: str) -> str:
     return f"""SELECT {key},
   bit_or((1::BIGINT) << ((('0x'||substr(md5(p_name),1,8))::BIGINT % 60)::INT)) AS {letter}_bits,
   max(p_size)::DOUBLE AS {letter}1, count(DISTINCT p_brand)::DOUBLE AS {letter}2,
-  round(avg(p_retailprice),4) AS {letter}3, round(avg(l_discount),4) AS {letter}4,
-  round(avg(l_quantity),4) AS {letter}5 FROM purch WHERE is_train GROUP BY {key}"""
+  {cents_sql('p_retailprice')} AS {letter}3, {cents_sql('l_discount')} AS {letter}4,
+  {cents_sql('l_quantity')} AS {letter}5 FROM purch WHERE is_train GROUP BY {key}"""
 
 
 FEATURED = f"""cprof AS ({_sql_profile('candidate', 'c')}),
