@@ -34,9 +34,8 @@ def valid_record(relation, value, kind, kinds: Sequence[str], *required) -> Colu
 def active_measurements(df: DataFrame, keep: Sequence[str], endpoints: dict[str, str],
                         threshold: float = 6.0) -> DataFrame:
     """Wide endpoint texts to rows; only values that are active for certain survive."""
-    long = df.unpivot(list(keep), [F.col(c).alias(e) for e, c in endpoints.items()], "endpoint", "raw")
-    # step by step, so that each expression is evaluated once per row
-    p = long.withColumn("_m", parse_censored("raw")).select(*keep, "endpoint", "_m.relation", "_m.value")
+    cells = F.array(*[F.struct(F.lit(e).alias("endpoint"), parse_censored(c).alias("m")) for e, c in endpoints.items()])
+    p = df.select(*keep, F.explode(cells).alias("_c")).select(*keep, "_c.endpoint", "_c.m.relation", "_c.m.value")
     p = p.where(F.col("value").isNotNull() & F.col("relation").isin(EXACT_OR_UPPER))
     return (p.withColumnRenamed("value", "value_nm").withColumn("pactivity", p_activity("value_nm"))
             .where(F.col("pactivity") >= threshold))

@@ -1,3 +1,4 @@
 """Imports every module that registers queries."""
-from rankspark.plans import benchmark_queries, scalar_queries, prior_queries  # noqa: F401
+from rankspark.plans import (  # noqa: F401
+    benchmark_queries, pair_queries, prior_queries, scalar_queries)
 from rankspark.plans.registry import COVERS, ORACLES, QUERIES  # noqa: F401

@@ -51,7 +51,7 @@ def strata_audit(spark, d):
 
 @query("class_balance", "A7", fx.sql("""SELECT label, n, round(n/sum(n) OVER ()::DOUBLE,6) AS ratio, (abs(n/sum(n) OVER ()::DOUBLE-0.5)>0.1)::INT AS deviates, top_contexts FROM (
  SELECT label, sum(c)::BIGINT AS n, string_agg(CASE WHEN rn<=3 THEN context END, ';' ORDER BY rn) AS top_contexts FROM (SELECT label, context, count(*) AS c,
-  row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, context) AS rn FROM m GROUP BY ALL) GROUP BY label)"""))
+  row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, context) AS rn FROM m GROUP BY label, context) GROUP BY label)"""))
 def class_balance(spark, d):
     c = fx.matrix(spark, d).groupBy("label", "context").agg(F.count("*").alias("c"))
     rn = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("c"), "context"))
@@ -79,11 +79,11 @@ def mean_contrast(spark, d):
 
 
 @query("measurement_rollup", "A10", """SELECT l_partkey, count(*) AS n, min(u) AS min, max(u) AS max, round(median(u),6) AS median, count(DISTINCT s) AS n_tags, string_agg(DISTINCT s, ';' ORDER BY s) AS tags
-FROM (SELECT l_partkey, round(l_extendedprice/l_quantity,2) AS u, l_suppkey::VARCHAR AS s FROM lineitem) GROUP BY 1""")
+FROM (SELECT l_partkey, l_extendedprice AS u, l_suppkey::VARCHAR AS s FROM lineitem) GROUP BY 1""")
 def measurement_rollup(spark, d):
-    li = fx.table(spark, d, "lineitem", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity").select(
+    li = fx.table(spark, d, "lineitem", "l_partkey", "l_suppkey", "l_extendedprice").select(
         "l_partkey", F.col("l_suppkey").cast("string").alias("s"),
-        F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("u"))
+        F.col("l_extendedprice").alias("u"))
     return rounded(Q.measurement_rollup(li, "l_partkey", "u", "s"), "median")
 
 
