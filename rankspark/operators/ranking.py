@@ -198,8 +198,8 @@ def md5_bucket_row_number(df: DataFrame, seed, keys: Sequence, out: str = "rn",
         Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     local = Window.partitionBy(*part, "_b").orderBy("_h", *[_c(k) for k in keys])
-    return (t.withColumn("_rn", F.row_number().over(local)).join(sizes, [*part, "_b"])
-            .withColumn(out, F.col("_off") + F.col("_rn")).drop("_h", "_b", "_off", "_rn"))
+    return (t.withColumn("_local", F.row_number().over(local)).join(sizes, [*part, "_b"])
+            .withColumn(out, F.col("_off") + F.col("_local")).drop("_h", "_b", "_off", "_local"))
 
 
 def global_row_number(df: DataFrame, value: str, tie: Column, out: str = "rn", buckets: int = 256) -> DataFrame:
@@ -223,5 +223,5 @@ def global_row_number(df: DataFrame, value: str, tie: Column, out: str = "rn", b
     sizes = (t.groupBy(*slices).agg(F.count("*").alias("_n"))
              .withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
     local = Window.partitionBy(*slices).orderBy(F.col(value), F.col("_t"))
-    return (t.withColumn("_rn", F.row_number().over(local)).join(sizes, slices)
-            .withColumn(out, F.col("_off") + F.col("_rn")).drop("_t", "_off", "_rn", *slices))
+    return (t.withColumn("_local", F.row_number().over(local)).join(sizes, slices)
+            .withColumn(out, F.col("_off") + F.col("_local")).drop("_t", "_off", "_local", *slices))
