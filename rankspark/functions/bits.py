@@ -16,12 +16,16 @@ def words(text) -> Column:
     return F.filter(F.split(F.lower(_c(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def let(value, body) -> Column:
+    """``body(value)`` with the value computed once per row, also when ``body`` uses it inside other lambdas."""
+    return F.transform(F.array(_c(value)), body)[0]
+
+
 def word_shingles(text, n: int = 3) -> Column:
     """Overlapping runs of ``n`` words; shorter texts give one shingle of all their words."""
-    w = words(text)
-    return F.when(F.size(w) <= n, F.array(F.array_join(w, " "))).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))),
-                    lambda i: F.array_join(F.slice(w, i, n), " ")))
+    return let(words(text), lambda w: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))),
+        lambda i: F.array_join(F.slice(w, i, n), " ")))
 
 
 def fingerprint(tokens, n_bits: int = 2048) -> Column:

@@ -5,6 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rankspark.functions.bits import let
 from rankspark.functions.hashing import hash_order
 from rankspark.operators.ranking import md5_bucket_row_number
 from rankspark.schema import flag
@@ -16,19 +17,23 @@ def _uniform(*parts) -> Column:
     return (h + 0.5) / float(16 ** 13)
 
 
-def poisson_total(n: Column, key: Sequence[Column], small: int = 64) -> Column:
+def poisson_total(n: Column, key: Sequence[Column], small: int = 32) -> Column:
     """Sum of n independent Poisson(1) weights, i.e. one Poisson(n) draw from a hash uniform.
 
     Exact inversion up to ``small``, normal approximation above.
     """
-    u = _uniform(F.lit("u"), *key)
     x = n.cast("double")
-    start = F.struct(F.exp(-x).alias("p"), F.exp(-x).alias("c"), F.lit(0).alias("k"))
-    inv = F.aggregate(F.sequence(F.lit(1), F.lit(small * 2 + 20)), start, lambda s, i: F.struct(
-        (s["p"] * x / i).alias("p"), (s["c"] + s["p"] * x / i).alias("c"),
-        (s["k"] + F.when(u > s["c"], 1).otherwise(0)).alias("k")))["k"].cast("double")
+
+    def invert(v):
+        steps = F.sequence(F.lit(1), F.ceil(v["x"] + 8 * F.sqrt(v["x"]) + 8).cast("int"))
+        start = F.struct(F.exp(-v["x"]).alias("p"), F.exp(-v["x"]).alias("c"), F.lit(0.0).alias("k"))
+        return F.aggregate(steps, start, lambda s, i: F.struct(
+            (s["p"] * v["x"] / i).alias("p"), (s["c"] + s["p"] * v["x"] / i).alias("c"),
+            (s["k"] + F.when(v["u"] > s["c"], 1.0).otherwise(0.0)).alias("k")))["k"]
+
+    exact = let(F.struct(x.alias("x"), _uniform(F.lit("u"), *key).alias("u")), invert)
     z = F.sqrt(-2.0 * F.log(_uniform(F.lit("a"), *key))) * F.cos(_uniform(F.lit("b"), *key) * 6.283185307179586)
-    return F.when(x <= small, inv).otherwise(F.greatest(F.round(x + F.sqrt(x) * z), F.lit(0.0)))
+    return F.when(x <= small, exact).otherwise(F.greatest(F.round(x + F.sqrt(x) * z), F.lit(0.0)))
 
 
 def bootstrap_ci(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None, replicates: int = 1000,
