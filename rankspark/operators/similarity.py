@@ -237,11 +237,11 @@ def vector_top_k(queries: DataFrame, pool: DataFrame, k: int, key: str = "vec_id
     nq = queries.select(F.ceil(F.count("*") / block).cast("int"))
 
     def search(visits: DataFrame) -> DataFrame:
-        v = visits.withColumn("qb", F.pmod(F.xxhash64("id"), nq.scalar()).cast("int"))
-        v = v.withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "pb", "qb", "id", "v")
-        need = v.select("cell", "pb", "qb").distinct()
-        right = placed.join(need, ["cell", "pb"])
-        return v.groupBy("cell", "pb", "qb").cogroup(right.groupBy("cell", "pb", "qb")).applyInPandas(
+        v = visits.select(F.col("cell").alias("lc"), F.pmod(F.xxhash64("id"), nq.scalar()).cast("int").alias("lq"),
+                          F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("lp"), "id", "v")
+        need = v.select(F.col("lc").alias("cell"), F.col("lp").alias("pb"), F.col("lq").alias("rq")).distinct()
+        right = placed.join(need, ["cell", "pb"]).select(F.col("cell").alias("rc"), F.col("pb").alias("rp"), "rq", "id", "v")
+        return v.groupBy("lc", "lp", "lq").cogroup(right.groupBy("rc", "rp", "rq")).applyInPandas(
             score, f"qid {kt}, id {kt}, cosine double")
 
     w = Window.partitionBy("qid").orderBy(F.desc("cosine"), "id")
