@@ -5,6 +5,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rankspark.session import BROADCAST_ROWS, broadcast_when_small
+
 SALTS = 8
 
 
@@ -71,30 +73,33 @@ def vocab_table(positives: DataFrame, context="context", candidate="candidate")
 
 def expand_candidates(queries: DataFrame, vocab: DataFrame, positives: DataFrame, query="query_id",
                       context="context", candidate="candidate", label="label", carry: Sequence[str] = (),
-                      salts: int = SALTS) -> DataFrame:
+                      salts: int = SALTS, max_vocab: int = BROADCAST_ROWS) -> DataFrame:
     """Every query with the vocabulary of its context; the full vocabulary when the context is unseen.
 
-    The query table is repartitioned by query before it grows, each query with its set of positives. As long as the
-    vocabulary is small enough for Spark to broadcast, the long matrix is produced in place, already clustered by
-    query: later windows need no exchange. Otherwise it is an equi-join on (context, salt): a query takes one salt,
-    the vocabulary is repeated per salt, so a context holding a third of the queries is spread.
+    The query table is repartitioned by query before it grows, each query with its set of positives. A vocabulary of
+    at most ``max_vocab`` counted rows is broadcast: the long matrix is produced in place, already clustered by query,
+    and later windows need no exchange. Otherwise it is an equi-join on (context, salt): a query takes one salt, the
+    vocabulary is repeated per salt, so a context holding a third of the queries is spread.
     Unseen contexts share the key of the full vocabulary.
     """
     n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pos = positives.groupBy(query).agg(F.collect_set(candidate).alias("_pos"))
-    seen = vocab.select(F.col(context).alias("_seen")).distinct()
-    q = (queries.join(pos, query, "left").join(seen, F.col(context) == F.col("_seen"), "left")
-         .withColumn("_k", F.when(F.col("_seen").isNotNull(), F.concat(F.lit("c|"), F.col(context)))
-                     .otherwise(F.lit("all"))).drop("_seen")
-         .withColumn("_s", F.pmod(F.xxhash64(query), F.lit(salts)).cast("int"))
-         .repartition(n, query))
     by_context = vocab.select(F.concat(F.lit("c|"), F.col(context)).alias("_k"), candidate, *carry)
     everything = (vocab.groupBy(candidate).agg(*[F.sum(c).alias(c) for c in carry]) if carry
                   else vocab.select(candidate).distinct()).select(F.lit("all").alias("_k"), candidate, *carry)
-    v = (by_context.unionByName(everything)
-         .withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
+    v, small = broadcast_when_small(by_context.unionByName(everything), max_vocab)
+    seen = v.select("_k").distinct().withColumnRenamed("_k", "_seen")
+    pos = positives.groupBy(query).agg(F.collect_set(candidate).alias("_pos"))
+    own = F.concat(F.lit("c|"), F.col(context))
+    q = (queries.join(pos, query, "left").join(seen, own == F.col("_seen"), "left")
+         .withColumn("_k", F.coalesce("_seen", F.lit("all"))).drop("_seen").repartition(n, query))
     hit = F.coalesce(F.array_contains("_pos", F.col(candidate)), F.lit(False))
-    return q.join(v, ["_k", "_s"]).withColumn(label, F.when(hit, 1).otherwise(0)).drop("_k", "_s", "_pos")
+    if small:
+        cells = q.join(v, "_k")
+    else:
+        q = q.withColumn("_s", F.pmod(F.xxhash64(query), F.lit(salts)).cast("int"))
+        v = v.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        cells = q.join(v, ["_k", "_s"]).drop("_s")
+    return cells.withColumn(label, F.when(hit, 1).otherwise(0)).drop("_k", "_pos")
 
 
 def conditional_priors(matrix: DataFrame, alpha: float = 1.0, label="label", candidate="candidate",

@@ -12,6 +12,7 @@ from rankspark.functions.scalar import content_score, pair_deltas
 from rankspark.functions.bits import packed_tanimoto, packed_phi
 from rankspark.operators.priors import expand_candidates, train_vocab
 from rankspark.operators.ranking import rank_candidates
+from rankspark.session import broadcast_when_small
 
 TRAIN_END = "1999-09-01"
 
@@ -98,7 +99,8 @@ def scored(spark, d) -> DataFrame:
     """Matrix with two train-only scores: context frequency and anchor frequency."""
     pos = train_positives(spark, d)
     m = expand_candidates(query_table(spark, d), train_vocab(pos), test_positives(spark, d), carry=["freq"])
-    return (m.join(_level_counts(pos, ["anchor", "candidate"], "score_b"), ["anchor", "candidate"], "left")
+    level, _ = broadcast_when_small(_level_counts(pos, ["anchor", "candidate"], "score_b"))
+    return (m.join(level, ["anchor", "candidate"], "left")
             .select("query_id", "anchor", "context", "candidate", "label",
                     F.col("freq").cast("double").alias("score_a"),
                     F.coalesce("score_b", F.lit(0.0)).alias("score_b")))
@@ -163,7 +165,8 @@ def query_profile(spark, d) -> DataFrame:
 def featured(spark, d, base: DataFrame | None = None) -> DataFrame:
     """Matrix with sim, phi, d1..d5; queries without history get zero features."""
     df = scored(spark, d) if base is None else base
-    df = (df.join(candidate_profile(spark, d), "candidate", "left")
+    profile, _ = broadcast_when_small(candidate_profile(spark, d))
+    df = (df.join(profile, "candidate", "left")
           .join(query_profile(spark, d), "query_id", "left"))
     deltas = pair_deltas([f"q{i}" for i in range(1, 6)], [f"c{i}" for i in range(1, 6)])
     df = df.select("query_id", "anchor", "context", "candidate", "label", "score_a", "score_b",

@@ -24,6 +24,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_when_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """(table, small): the table is written once and counted; only below ``max_rows`` it carries a broadcast hint.
+
+    Beyond the bound the caller takes its shuffled way.
+    """
+    from pyspark.sql import functions as F
+    t = cut_lineage(df)
+    small = t.count() <= max_rows
+    return (F.broadcast(t) if small else t), small
+
+
 def local_session(cores: str | int = 8, memory: str = "20g", shuffle: int = 8, app: str = "rankspark") -> SparkSession:
     """Local session for tests and the benchmark."""
     spark = (
