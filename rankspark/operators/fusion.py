@@ -75,23 +75,41 @@ def z_columns(df: DataFrame, scores: Sequence[str], query="query_id", digits: in
     return df.withColumns({f"z_{s}": F.round(zscore(s, query), digits) for s in scores})
 
 
-def grid_best_ranks(df: DataFrame, scores: dict[str, Column], query="query_id", candidate="candidate", label="label",
+def best_rank_table(df: DataFrame, scores: dict[str, Column], query="query_id", candidate="candidate", label="label",
                     carry: Sequence[str] = ("anchor",)) -> DataFrame:
-    """Best positive rank of every scoring variant: (query, carry, variant, best_rank).
+    """One row per query with ``best_<name>``: the best positive's rank under every score.
 
-    Two aggregates per query instead of one sort per variant: the best positive's order key, then how many
-    candidates stand before it. Queries without a positive are skipped.
+    Two aggregates per query instead of one sort per score: the best positive's order key, then how many candidates
+    stand before it. Both combine map-side, so even a query with very many rows is no hot spot. Queries without a
+    positive are skipped.
     """
     names = list(scores)
     t = df.select(query, candidate, label, *carry, tie_key(query, candidate).alias("_t"),
                   *[scores[n].cast("double").alias(f"_s{i}") for i, n in enumerate(names)])
     key = lambda i: F.struct((-F.col(f"_s{i}")).alias("s"), F.col("_t").alias("t"), F.col(candidate).alias("c"))
     best = t.where(F.col(label) == 1).groupBy(query).agg(*[F.min(key(i)).alias(f"_b{i}") for i in range(len(names))])
-    r = t.join(best, query).groupBy(query).agg(
-        *[F.min(c).alias(c) for c in carry],
-        *[(F.sum(flag(key(i) < F.col(f"_b{i}"))) + 1).cast("bigint").alias(f"_r{i}") for i in range(len(names))])
+    return t.join(best, query).groupBy(query).agg(
+        *[F.min(c).alias(c) for c in carry], F.count("*").alias("n_candidates"),
+        F.sum(label).cast("bigint").alias("n_positive"),
+        *[(F.sum(flag(key(i) < F.col(f"_b{i}"))) + 1).cast("bigint").alias(f"best_{n}") for i, n in enumerate(names)])
+
+
+def wide_metrics(df: DataFrame, scores: dict[str, Column], ks=(1, 5, 10), carry: Sequence[str] = ("anchor", "context"),
+                 **kw) -> DataFrame:
+    """:func:`best_rank_table` with ``hit<k>_<name>`` and ``mrr_<name>``."""
+    q = best_rank_table(df, scores, carry=carry, **kw)
+    return q.withColumns({
+        **{f"hit{k}_{n}": flag(F.col(f"best_{n}") <= k) for n in scores for k in ks},
+        **{f"mrr_{n}": 1.0 / F.col(f"best_{n}") for n in scores}})
+
+
+def grid_best_ranks(df: DataFrame, scores: dict[str, Column], query="query_id", carry: Sequence[str] = ("anchor",),
+                    **kw) -> DataFrame:
+    """Long form of :func:`best_rank_table`: (query, carry, variant, best_rank)."""
+    names = list(scores)
+    r = best_rank_table(df, {f"v{i}": scores[n] for i, n in enumerate(names)}, query=query, carry=carry, **kw)
     return r.select(query, *carry, F.explode(F.array(*[
-        F.struct(F.lit(n).alias("variant"), F.col(f"_r{i}").alias("best_rank")) for i, n in enumerate(names)])).alias("e")
+        F.struct(F.lit(n).alias("variant"), F.col(f"best_v{i}").alias("best_rank")) for i, n in enumerate(names)])).alias("e")
     ).select(query, *carry, "e.*")
 
 

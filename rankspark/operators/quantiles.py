@@ -6,7 +6,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rankspark.functions.hashing import hash_order
-from rankspark.operators.ranking import global_row_number
+from rankspark.session import cut_lineage
+from rankspark.operators.ranking import fitted_cuts, global_row_number, slice_column
 
 SLICES = 256
 
@@ -22,9 +23,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     names = names or [f"q{i}" for i in range(len(probs))]
     vc = (df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v"))
           .agg(F.count("*").alias("_n")))
-    cuts = vc.agg(F.percentile_approx("_v", [i / SLICES for i in range(1, SLICES)], 10000)).first()[0] or []
-    arr = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    vc = vc.withColumn("_s", F.size(F.filter(arr, lambda e: e < F.col("_v"))))
+    vc = cut_lineage(vc)  # read three times below
+    vc = slice_column(vc, "_v", fitted_cuts(vc, "_v", SLICES), "_s")
     sizes = vc.groupBy(*by, "_s").agg(F.sum("_n").alias("_m"))
     keys = by or [F.lit(0)]
     w = Window.partitionBy(*keys).orderBy("_s")
@@ -66,9 +66,8 @@ def qcut_rank(df: DataFrame, value: str, tie: Sequence, q: int, out: str = "bin"
 def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     """Average rank of every distinct value over the whole table: (value, out)."""
     vc = df.groupBy(F.col(value)).agg(F.count("*").alias("_n"))
-    cuts = vc.agg(F.percentile_approx(F.col(value).cast("double"), [i / SLICES for i in range(1, SLICES)], 10000)).first()[0] or []
-    arr = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    vc = vc.withColumn("_s", F.size(F.filter(arr, lambda e: e < F.col(value).cast("double"))))
+    vc = cut_lineage(vc)
+    vc = slice_column(vc, value, fitted_cuts(vc, value, SLICES), "_s")
     before = Window.partitionBy(F.lit(0)).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     sizes = (vc.groupBy("_s").agg(F.sum("_n").alias("_m"))
              .select("_s", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_off")))

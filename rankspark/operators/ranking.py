@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rankspark.functions.hashing import tie_key
@@ -202,22 +203,37 @@ def md5_bucket_row_number(df: DataFrame, seed, keys: Sequence, out: str = "rn",
             .withColumn(out, F.col("_off") + F.col("_local")).drop("_h", "_b", "_off", "_local"))
 
 
+def slice_column(df: DataFrame, value: str, cuts: Sequence[float], out: str) -> DataFrame:
+    """Number of cut points at or below the value, by binary search."""
+    if not cuts:
+        return df.withColumn(out, F.lit(0))
+    splits = [float("-inf"), *[float(c) for c in cuts], float("inf")]
+    b = Bucketizer(splits=splits, inputCol="_v64", outputCol=out, handleInvalid="keep")
+    return b.transform(df.withColumn("_v64", F.col(value).cast("double"))).withColumn(out, F.col(out).cast("int")).drop("_v64")
+
+
+def fitted_cuts(df: DataFrame, value: str, n: int) -> list[float]:
+    """At most n-1 distinct cut points: the only thing about the column that reaches the driver."""
+    probs = [i / n for i in range(1, n)]
+    return sorted(set(df.agg(F.percentile_approx(F.col(value).cast("double"), probs, 10000).alias("c")).first()["c"] or []))
+
+
 def global_row_number(df: DataFrame, value: str, tie: Column, out: str = "rn", buckets: int = 256) -> DataFrame:
     """Row number over the whole table by (value, tie) without a one-task sort.
 
-    Cut points of the value (a bounded fitted array) split the table into ordered slices; rows equal to a cut point
-    form slices of their own, split further by the leading digits of the tie hash, so a value held by a third of
-    the rows is no hot spot. Only slice sizes are summed in one place.
+    Cut points of the value split the table into ordered slices; rows equal to a cut point form slices of their own,
+    split further by the leading digits of the tie hash, so a value held by a third of the rows is no hot spot. Only
+    slice sizes are summed in one place.
     """
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, 10000).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    arr = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
-    v = F.col(value).cast("double")
-    t = (df.withColumn("_t", tie)
-         .withColumn("_s", F.size(F.filter(arr, lambda e: e < v)))
-         .withColumn("_e", F.array_contains(arr, v).cast("int"))
-         .withColumn("_p", F.when(F.col("_e") == 1, F.substring("_t", 1, 2)).otherwise("")))
+    cuts = fitted_cuts(df, value, buckets)
+    at_cut = F.lit(False)
+    t = slice_column(df.withColumn("_t", tie), value, cuts, "_s")
+    if cuts:
+        arr = F.array(*[F.lit(float(c)) for c in cuts])
+        at_cut = F.coalesce(F.get(arr, F.col("_s") - 1) == F.col(value).cast("double"), F.lit(False))
+    # a value equal to its lower cut comes first in the slice
+    t = (t.withColumn("_e", F.when(at_cut, 0).otherwise(1))
+         .withColumn("_p", F.when(F.col("_e") == 0, F.substring("_t", 1, 2)).otherwise("")))
     slices = ["_s", "_e", "_p"]
     before = Window.partitionBy(F.lit(0)).orderBy(*slices).rowsBetween(Window.unboundedPreceding, -1)
     sizes = (t.groupBy(*slices).agg(F.count("*").alias("_n"))

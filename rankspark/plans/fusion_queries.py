@@ -109,7 +109,7 @@ def rerank_within_topk(spark, d):
 
 
 def wide(spark, d):
-    return M.wide_metrics(fx.ranked(spark, d), {"a": "rank_a", "b": "rank_b"})
+    return X.wide_metrics(fx.scored(spark, d), {"a": F.col("score_a"), "b": F.col("score_b")})
 
 
 WIDE = """wm AS (SELECT *, (best_a<=1)::INT AS hit1_a, (best_b<=1)::INT AS hit1_b, (best_a<=5)::INT AS hit5_a, (best_b<=5)::INT AS hit5_b, (best_a<=10)::INT AS hit10_a, (best_b<=10)::INT AS hit10_b, 1.0::DOUBLE/best_a AS mrr_a, 1.0::DOUBLE/best_b AS mrr_b

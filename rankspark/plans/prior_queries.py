@@ -5,6 +5,7 @@ from pyspark.sql import Window, functions as F
 
 from rankspark.functions import bits as B
 from rankspark.functions.scalar import frequency_band, r6
+from rankspark.operators import fusion as X
 from rankspark.operators import metrics as M
 from rankspark.operators import priors as P
 from rankspark.operators import quantiles as Q
@@ -354,7 +355,7 @@ def distractors(spark, d):
 @query("hit_quadrants", "U3", fx.sql(f"""SELECT context, k, sum((a AND b)::INT)::BIGINT AS both, sum((a AND NOT b)::INT)::BIGINT AS only_a, sum((NOT a AND b)::INT)::BIGINT AS only_b, sum((NOT a AND NOT b)::INT)::BIGINT AS neither
  FROM (SELECT context, k, min(CASE WHEN label=1 THEN rank_a END)<=k AS a, min(CASE WHEN label=1 THEN rank_b END)<=k AS b FROM rk, (VALUES (1),(5),(10)) v(k) GROUP BY query_id, context, k HAVING sum(label)>0) GROUP BY ALL"""))
 def hit_quadrants(spark, d):
-    w = M.wide_metrics(fx.ranked(spark, d), {"a": "rank_a", "b": "rank_b"})
+    w = X.wide_metrics(fx.scored(spark, d), {"a": F.col("score_a"), "b": F.col("score_b")})
     cells = w.select("context", F.explode(F.array(*[F.struct(
         F.lit(k).alias("k"), F.col(f"hit{k}_a").alias("a"), F.col(f"hit{k}_b").alias("b")) for k in (1, 5, 10)])).alias("e")
     ).select("context", "e.*")
