@@ -4,10 +4,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankspark.llm import minhash
+from rankspark.llm import langid, minhash
 from rankspark.llm.common import table, written
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that language identification rejects go: no text, no letter, or far from every learned language."""
+    learned = langid.learn(docs.where(docs["doc_id"].isNotNull() & ~langid.held_out(docs["doc_id"])), "text", "lang")
+    return docs.where(~langid.predictor(learned)(spark, docs["text"])["rejected"])
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (5-word shingles, similarity 0.8) stays: the least id.
 
@@ -17,7 +23,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(found, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [("language", language), ("near_dedup", near_dedup)]
 
 #: The tagger of personal data and the language model are trained, which SQL cannot express.
 ORACLE_SQL = None

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankspark.llm import minhash
+from rankspark.llm import langid, minhash
 from rankspark.llm.common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -24,5 +24,10 @@ r AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT both.y, r.
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(root) AS component_id, doc_id = min(root) AS kept
 FROM documents LEFT JOIN n USING (doc_id) JOIN r ON r.id=doc_id GROUP BY doc_id, n"""
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, and the selected languages with their proportions."""
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op10_language_id": op10_language_id, "op1_minhash_dedup": op1_minhash_dedup}
 ORACLES = {"op1_minhash_dedup": OP1_SQL}
