@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from rankspark.llm.common import slices, texts, utf8, written
 from rankspark.llm.words import mix, shingles, word_hashes
 
-#: 32 bands of 4: a pair of similarity 0.8 is missed with a probability of 5e-8, one of 0.85 with 6e-11.
-BANDS, ROWS = 32, 4
+#: 25 bands of 4: a pair of similarity 0.8 is missed with a probability of 2e-6, one of 0.85 with 1e-8.
+BANDS, ROWS = 25, 4
 BINS = BANDS * ROWS
 _ODD = mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 _FOLD = mix(np.arange(100, 100 + BINS, dtype=np.uint64)).reshape(BANDS, ROWS) | np.uint64(1)
@@ -139,6 +139,22 @@ def components(edges: DataFrame) -> DataFrame:
         e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def shareable(reps: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """rep and ``most``: how many of its shingles occur in another of these documents as well."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(sets_of(batch.column(1), size))
+            ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
+            flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(flat)], names=["rep", "shingle"])
+    text = (docs.select(F.coalesce("key", F.lit(-(1 << 63))).alias("rep"), "text").join(reps, "rep", "left_semi")
+            .groupBy("rep").agg(F.min("text").alias("text")))
+    owners = text.mapInArrow(run, "rep long, shingle long").groupBy("shingle").agg(
+        F.min("rep").alias("rep"), F.count("*").alias("owners"))
+    alone = owners.where("owners = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+    return reps.join(alone, "rep", "left").select("rep", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
+
+
 def links(sketched: DataFrame, docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(classes, edges): every set with its class's least node (s1, s2, rep), and confirmed links between reps.
 
@@ -166,11 +182,12 @@ def links(sketched: DataFrame, docs: DataFrame, size: int, percent: int) -> tupl
     rest = known.join(open_buckets, "bucket", "left_semi").where("rep <> leader").join(far, ["rep", "leader"], "left").join(
         part.select(F.col("node").alias("leader"), F.col("component").alias("home")), "leader", "left")
     rest = written(rest.withColumn("home", F.coalesce("home", "leader")), "open")
-    x = rest.where("component <> home").select("bucket", F.col("rep").alias("x"), F.col("n").alias("nx"),
-                                               F.col("d").alias("dx"), F.col("component").alias("cx"))
-    y = rest.select("bucket", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"),
-                    F.col("component").alias("cy"))
-    pairs = (x.join(y, "bucket").where("cx <> cy").where(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+    rest = rest.join(shareable(rest.select("rep", "n").distinct(), docs, size), "rep")
+    x = rest.where("component <> home").where(f"100 * most >= {percent} * n").select(
+        "bucket", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("most").alias("mx"), F.col("d").alias("dx"), F.col("component").alias("cx"))
+    y = rest.where(f"100 * most >= {percent} * n").select(
+        "bucket", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("most").alias("my"), F.col("d").alias("dy"), F.col("component").alias("cy"))
+    pairs = (x.join(y, "bucket").where("cx <> cy").where(f"100 * least(mx, my) >= {percent} * (nx + ny - least(mx, my))")
              .where(f"dx is null or dy is null or abs(dx - dy) <= {1 - percent / 100 + 1e-9}")
              .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
     pairs = written(pairs, "open-pairs")
