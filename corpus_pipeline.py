@@ -1,10 +1,11 @@
 """The corpus pipeline: each stage is one operator over what the stage before it kept."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankspark.llm import langid, minhash
+from rankspark.llm import bpe, langid, minhash
 from rankspark.llm.common import table, written
 
 
@@ -23,7 +24,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(found, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
-STAGES = [("language", language), ("near_dedup", near_dedup)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and the digests of ids and decoded bytes of every document kept."""
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), digest=True)
+
+
+STAGES = [("language", language), ("near_dedup", near_dedup), ("encode", encode)]
 
 #: The tagger of personal data and the language model are trained, which SQL cannot express.
 ORACLE_SQL = None

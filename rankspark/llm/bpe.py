@@ -10,7 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 #: The pre-token pattern of the rank file (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts are worked through in runs of about so many characters, words in runs of so many; bounds a task's memory.
-RUN_CHARS, RUN_WORDS, KEEP_UNITS = 1 << 21, 40_000, 150_000
+RUN_CHARS, RUN_WORDS, KEEP_UNITS = 1 << 21, 40_000, 250_000
 #: Longer words are merged round by round in a table that is replaced, since a recursion keeps what every round made.
 LONG_WORD = 160
 
@@ -61,8 +61,25 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class Cache(dict):
+    """unit -> bytes in two generations: when the younger is full the elder is dropped, so frequent units stay."""
+
+    def __init__(self):
+        self.elder: dict[str, bytes] = {}
+
+    def __missing__(self, unit: str) -> bytes:
+        self[unit] = out = self.elder[unit]
+        return out
+
+    def lacking(self, units: set[str]) -> set[str]:
+        if len(self) > KEEP_UNITS:
+            self.elder = dict(self)
+            self.clear()
+        return {u for u in units.difference(self) if u not in self.elder}
+
+
 class Codec:
-    """The merge table and vocabulary in an in-memory database of this task's process, with a bounded cache of units."""
+    """The merge table and vocabulary in an in-memory database of this task's process, with bounded caches of units."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         import duckdb
@@ -70,13 +87,13 @@ class Codec:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         splits = [(ranks[t[:i]], ranks[t[i:]], n) for t, n in ranks.items() for i in range(1, len(t))
                   if t[:i] in ranks and t[i:] in ranks]
-        l, r, n = (pa.array(x, pa.int32()) for x in zip(*splits, strict=True)) if splits else [pa.array([], pa.int32())] * 3
-        self._table("merges", pa.table({"l": l, "r": r, "merged": n}))
+        left, right, merged = zip(*splits, strict=True) if splits else ((), (), ())
+        self._table("merges", pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "merged": pa.array(merged, pa.int32())}))
         self._table("vocabulary", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array(list(ranks), pa.binary())}))
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.pattern = regex.compile(pattern)
-        self.first: dict[str, tuple[bytes, bytes]] = {}
-        self.rest: dict[str, tuple[bytes, bytes]] = {}
+        #: (ids, decoded bytes) of units at a text's start and after a space
+        self.first, self.rest = (Cache(), Cache()), (Cache(), Cache())
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("arrow_rows", rows)
@@ -86,13 +103,13 @@ class Codec:
     def _arrow(self, sql: str) -> pa.Table:
         return self.db.sql(sql).to_arrow_table()
 
-    def words(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """(ids as little-endian 32-bit integers, decoded bytes) of each pre-token."""
+    def words(self, words: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+        """The ids (as little-endian 32-bit integers) and the decoded bytes of each pre-token."""
         n = np.array([len(x) for x in words], np.int64)
         data = np.frombuffer(b"".join(words), np.uint8)
         w = np.repeat(np.arange(len(words), dtype=np.int32), n)
         rows = pa.table({"w": w, "g": np.arange(len(data), dtype=np.int32), "tok": self.byte[data]})
-        long = n[w] > LONG_WORD if len(w) else np.zeros(0, bool)
+        long = n[w] > LONG_WORD
         self._table("start", rows.filter(pa.array(~long)))
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE ids AS {ENCODE}")
         if long.any():
@@ -103,35 +120,33 @@ class Codec:
                 self.db.execute(ROUND)
             self.db.execute("INSERT INTO ids SELECT w, g, tok FROM merging")
         ids = self._arrow("SELECT w, tok FROM ids ORDER BY g")
-        tokens = ids["tok"].to_numpy().astype("<u4")
-        ends = np.searchsorted(ids["w"].to_numpy(), np.arange(len(words) + 1))
-        plain = [bytes.fromhex(x) for x in self._arrow(DECODE)["hex"].to_pylist()]
-        return [(tokens[ends[i]:ends[i + 1]].tobytes(), plain[i]) for i in range(len(words))]
+        tokens = ids["tok"].to_numpy().astype("<u4").tobytes()
+        ends = (4 * np.searchsorted(ids["w"].to_numpy(), np.arange(len(words) + 1))).tolist()
+        plain = self._arrow(DECODE)["hex"].to_pylist()
+        return [tokens[i:j] for i, j in zip(ends, ends[1:])], list(map(bytes.fromhex, plain))
 
-    def _learn(self, units: Iterable[str], cache: dict[str, tuple[bytes, bytes]], lead: str) -> None:
+    def _learn(self, units: set[str], caches: tuple[Cache, Cache], lead: str) -> None:
         pieces = {u: self.pattern.findall(lead + u) for u in units}
         new = list({p for ps in pieces.values() for p in ps})
-        got: dict[str, tuple[bytes, bytes]] = {}
+        ids: dict[str, bytes] = {}
+        plain: dict[str, bytes] = {}
         for at in range(0, len(new), RUN_WORDS):
             part = new[at:at + RUN_WORDS]
-            got.update(zip(part, self.words([p.encode() for p in part]), strict=True))
-        for u, ps in pieces.items():
-            cache[u] = got[ps[0]] if len(ps) == 1 else tuple(b"".join(x) for x in zip(*(got[p] for p in ps), strict=True))
+            for to, got in zip((ids, plain), self.words([p.encode() for p in part]), strict=True):
+                to.update(zip(part, got, strict=True))
+        for cache, of in zip(caches, (ids, plain), strict=True):
+            for u, ps in pieces.items():
+                cache[u] = of[ps[0]] if len(ps) == 1 else b"".join([of[p] for p in ps])
 
     def texts(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids, decoded bytes) of each text."""
         cut = [_cut(x) for x in texts]
-        for cache, units, lead in ((self.first, {x[0] for x in cut if x[0]}, ""),
-                                   (self.rest, {u for x in cut for u in x[1:]}, " ")):
-            if len(cache) > KEEP_UNITS:
-                cache.clear()
-            if new := units.difference(cache):
-                self._learn(new, cache, lead)
-        out = []
-        for x in cut:
-            got = ([self.first[x[0]]] if x[0] else []) + list(map(self.rest.__getitem__, x[1:]))
-            out.append((b"".join([a for a, _ in got]), b"".join([b for _, b in got])))
-        return out
+        for caches, units, lead in ((self.first, {x[0] for x in cut if x[0]}, ""),
+                                    (self.rest, {u for x in cut for u in x[1:]}, " ")):
+            if new := caches[0].lacking(units) | caches[1].lacking(units):
+                self._learn(new, caches, lead)
+        return [tuple((first[x[0]] if x[0] else b"") + b"".join(map(rest.__getitem__, x[1:]))
+                      for first, rest in zip(self.first, self.rest, strict=True)) for x in cut]
 
 
 def _cut(text: str) -> list[str]:

@@ -1,12 +1,13 @@
 """The registered query of every operator, over whole tables, with its SQL twin where SQL can express it."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankspark.llm import langid, minhash
+from rankspark.llm import bpe, langid, minhash, urls
 from rankspark.llm.common import table
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+UPPER, LOWER = urls.UPPER, urls.LOWER
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,5 +30,32 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_language_id": op10_language_id, "op1_minhash_dedup": op1_minhash_dedup}
-ORACLES = {"op1_minhash_dedup": OP1_SQL}
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), digest=True)
+
+
+#: The rules (verdict, host, path) of the URL query (fixed values).
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+         ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+#: The block list of the URL query: sites of six unwanted names under each public suffix (fixed values).
+BLOCKED = [f"{name}.example.{end}" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+           for end in ("com", "net", "org")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict, listed."""
+    return urls.judge(table(spark, sf_dir, "pages"), RULES, urls.keys(spark, BLOCKED))
+
+
+OP9_SQL = rf"""WITH r AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://')+3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+rules(says, h, q) AS (VALUES {', '.join(map(str, RULES))}),
+f AS (SELECT page_id, host, path, arg_max(h||q, length(h||q)) AS rule, arg_max(says, length(h||q)) AS says FROM p
+ LEFT JOIN rules ON (host=h OR ends_with(host, '.'||h)) AND starts_with(path, q) GROUP BY page_id, host, path),
+l AS (SELECT *, list_has_any(list_transform(range(1, 1+len(string_split(host,'.'))), lambda i: array_to_string(string_split(host,'.')[i:], '.')), {BLOCKED}) AS listed FROM f)
+SELECT page_id, host, path, rule, coalesce(says, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed FROM l"""
+
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op7_byte_bpe": op7_byte_bpe, "op9_url_filter": op9_url_filter,
+           "op10_language_id": op10_language_id}
+ORACLES = {"op1_minhash_dedup": OP1_SQL, "op9_url_filter": OP9_SQL}
