@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,20 +139,35 @@ def components(edges: DataFrame) -> DataFrame:
         e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def shareable(reps: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """rep and ``most``: how many of its shingles occur in another of these documents as well."""
+def open_pairs(open_docs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b: pairs of ``open_docs`` (rep, n, component, apart) that may be linked and are not yet connected.
+
+    Each set is ordered from its rarest shingle (among these documents) to its commonest. A linked pair shares a shingle
+    within the first n - least overlap + 1 of both, and the overlap cannot exceed what is left after the first shared one:
+    in a group of near copies, whose common shingles come last, only sets with a rare shingle in common meet. Exact.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(sets_of(batch.column(1), size))
             ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
             flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(flat)], names=["rep", "shingle"])
-    text = (docs.select(F.coalesce("key", F.lit(-(1 << 63))).alias("rep"), "text").join(reps, "rep", "left_semi")
+    text = (docs.select(F.coalesce("key", F.lit(-(1 << 63))).alias("rep"), "text").join(open_docs.select("rep"), "rep", "left_semi")
             .groupBy("rep").agg(F.min("text").alias("text")))
-    owners = text.mapInArrow(run, "rep long, shingle long").groupBy("shingle").agg(
-        F.min("rep").alias("rep"), F.count("*").alias("owners"))
-    alone = owners.where("owners = 1").groupBy("rep").agg(F.count("*").alias("alone"))
-    return reps.join(alone, "rep", "left").select("rep", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
+    rows = written(text.mapInArrow(run, "rep long, shingle long"), "open-shingles")
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    rows = rows.join(shared, "shingle")
+    held = rows.groupBy("rep").agg(F.count("*").alias("held"))  # the others are rarer still: they come first
+    order = Window.partitionBy("rep").orderBy("df", "shingle")
+    firsts = written(
+        rows.withColumn("k", F.row_number().over(order)).join(open_docs.join(held, "rep"), "rep")
+        .withColumn("at", F.col("n") - F.col("held") + F.col("k")).where(f"100 * (n - at + 1) >= {percent} * n")
+        .select("shingle", "rep", "n", "at", "component", "apart"), "firsts")
+    x = firsts.where("apart").select("shingle", *[F.col(c).alias(f"{c}_x") for c in ("rep", "n", "at", "component")])
+    y = firsts.select("shingle", *[F.col(c).alias(f"{c}_y") for c in ("rep", "n", "at", "component")])
+    enough = f"{100 + percent} * (least(n_x - at_x, n_y - at_y) + 1) >= {percent} * (n_x + n_y)"
+    return (x.join(y, "shingle").where("component_x <> component_y").where(enough)
+            .select(F.greatest("rep_x", "rep_y").alias("a"), F.least("rep_x", "rep_y").alias("b")).distinct())
 
 
 def links(sketched: DataFrame, docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -178,18 +193,11 @@ def links(sketched: DataFrame, docs: DataFrame, size: int, percent: int) -> tupl
         "component", F.coalesce("component", "rep"))
     open_buckets = (known.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"),
                                                 F.count("*").alias("size")).where("c0 < c1 and size > 2").select("bucket"))
-    far = tested.select(F.col("a").alias("rep"), F.col("b").alias("leader"), (1 - F.col("shared") / F.col("joint")).alias("d"))
-    rest = known.join(open_buckets, "bucket", "left_semi").where("rep <> leader").join(far, ["rep", "leader"], "left").join(
-        part.select(F.col("node").alias("leader"), F.col("component").alias("home")), "leader", "left")
-    rest = written(rest.withColumn("home", F.coalesce("home", "leader")), "open")
-    rest = rest.join(shareable(rest.select("rep", "n").distinct(), docs, size), "rep")
-    x = rest.where("component <> home").where(f"100 * most >= {percent} * n").select(
-        "bucket", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("most").alias("mx"), F.col("d").alias("dx"), F.col("component").alias("cx"))
-    y = rest.where(f"100 * most >= {percent} * n").select(
-        "bucket", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("most").alias("my"), F.col("d").alias("dy"), F.col("component").alias("cy"))
-    pairs = (x.join(y, "bucket").where("cx <> cy").where(f"100 * least(mx, my) >= {percent} * (nx + ny - least(mx, my))")
-             .where(f"dx is null or dy is null or abs(dx - dy) <= {1 - percent / 100 + 1e-9}")
-             .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    home = part.select(F.col("node").alias("leader"), F.col("component").alias("home"))
+    rest = known.join(open_buckets, "bucket", "left_semi").join(home, "leader", "left")
+    rest = written(rest.groupBy("rep", "n", "component").agg(
+        F.max(F.col("component") != F.coalesce("home", "leader")).alias("apart")), "open")
+    pairs = open_pairs(rest, docs, size, percent)
     pairs = written(pairs, "open-pairs")
     more = confirmed(pairs, docs, size, percent).where("linked").select("a", "b")
     return classes.select("s1", "s2", "rep"), edges.unionByName(written(more, "more"))

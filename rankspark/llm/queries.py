@@ -20,8 +20,8 @@ sh AS (SELECT DISTINCT doc_id, CASE WHEN len(w)>=3 THEN array_to_string(w[i:i+2]
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM sh a JOIN sh b ON a.s=b.s AND a.doc_id<b.doc_id GROUP BY ALL),
 e AS (SELECT x, y FROM p JOIN n a ON a.doc_id=x JOIN n b ON b.doc_id=y WHERE 100*shared >= 85*(a.n+b.n-shared)),
-both AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
-r AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT both.y, r.root FROM r JOIN both ON both.x=r.id)
+ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT ways.y, r.root FROM r JOIN ways ON ways.x=r.id)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(root) AS component_id, doc_id = min(root) AS kept
 FROM documents LEFT JOIN n USING (doc_id) JOIN r ON r.id=doc_id GROUP BY doc_id, n"""
 
