@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankspark.llm import bpe, langid, minhash
+from rankspark.llm import bpe, decontaminate, langid, minhash
 from rankspark.llm.common import table, written
 
 
@@ -24,12 +24,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(found, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, question and answer, go."""
+    return docs.where(F.size(decontaminate.matches(spark, table(spark, sf_dir, "benchmark"), docs["text"])) == 0)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and the digests of ids and decoded bytes of every document kept."""
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), digest=True)
 
 
-STAGES = [("language", language), ("near_dedup", near_dedup), ("encode", encode)]
+STAGES = [("language", language), ("near_dedup", near_dedup), ("decontamination", decontamination), ("encode", encode)]
 
 #: The tagger of personal data and the language model are trained, which SQL cannot express.
 ORACLE_SQL = None
