@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankspark.llm import bpe, decontaminate, langid, minhash, urls
+from rankspark.llm import bpe, decontaminate, langid, minhash, topk, urls
 from rankspark.llm.common import table
 
 UPPER, LOWER = urls.UPPER, urls.LOWER
@@ -40,6 +40,16 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), digest=True)
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 5 best of every 50th vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP8_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256*x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s QUALIFY rank <= 5"""
+
+
 #: The rules (verdict, host, path) of the URL query (fixed values).
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -61,6 +71,6 @@ f AS (SELECT page_id, host, path, arg_max(h||q, length(h||q)) AS rule, arg_max(s
 l AS (SELECT *, list_has_any(list_transform(range(1, 1+len(string_split(host,'.'))), lambda i: array_to_string(string_split(host,'.')[i:], '.')), {BLOCKED}) AS listed FROM f)
 SELECT page_id, host, path, rule, coalesce(says, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed FROM l"""
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op3_decontaminate": op3_decontaminate, "op7_byte_bpe": op7_byte_bpe, "op9_url_filter": op9_url_filter,
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op3_decontaminate": op3_decontaminate, "op7_byte_bpe": op7_byte_bpe, "op8_top_k": op8_top_k, "op9_url_filter": op9_url_filter,
            "op10_language_id": op10_language_id}
-ORACLES = {"op1_minhash_dedup": OP1_SQL, "op9_url_filter": OP9_SQL}
+ORACLES = {"op1_minhash_dedup": OP1_SQL, "op8_top_k": OP8_SQL, "op9_url_filter": OP9_SQL}
