@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankspark.llm import bpe, decontaminate, langid, minhash
+from rankspark.llm import bpe, decontaminate, langid, minhash, pii
 from rankspark.llm.common import table, written
 
 
@@ -29,12 +29,19 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.where(F.size(decontaminate.matches(spark, table(spark, sf_dir, "benchmark"), docs["text"])) == 0)
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span of personal data is replaced by its kind in brackets; ``n_chars`` follows the new text."""
+    mask = pii.masker(spark, pii.fit(docs))
+    masked = docs.withColumn("text", mask(docs["text"]))
+    return masked.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and the digests of ids and decoded bytes of every document kept."""
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), digest=True)
 
 
-STAGES = [("language", language), ("near_dedup", near_dedup), ("decontamination", decontamination), ("encode", encode)]
+STAGES = [("language", language), ("near_dedup", near_dedup), ("decontamination", decontamination), ("personal_data", personal_data), ("encode", encode)]
 
 #: The tagger of personal data and the language model are trained, which SQL cannot express.
 ORACLE_SQL = None

@@ -3,8 +3,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rankspark.llm import bpe, decontaminate, langid, minhash, topk, urls
+from rankspark.llm import bpe, decontaminate, langid, minhash, pii, topk, urls
 from rankspark.llm.common import table
 
 UPPER, LOWER = urls.UPPER, urls.LOWER
@@ -30,6 +31,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, counts and digest of the base spans by kind, and all spans."""
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *pii.digests(F.col("found")))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of every benchmark item found in a document."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -71,6 +78,6 @@ f AS (SELECT page_id, host, path, arg_max(h||q, length(h||q)) AS rule, arg_max(s
 l AS (SELECT *, list_has_any(list_transform(range(1, 1+len(string_split(host,'.'))), lambda i: array_to_string(string_split(host,'.')[i:], '.')), {BLOCKED}) AS listed FROM f)
 SELECT page_id, host, path, rule, coalesce(says, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed FROM l"""
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op3_decontaminate": op3_decontaminate, "op7_byte_bpe": op7_byte_bpe, "op8_top_k": op8_top_k, "op9_url_filter": op9_url_filter,
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_pii": op2_pii, "op3_decontaminate": op3_decontaminate, "op7_byte_bpe": op7_byte_bpe, "op8_top_k": op8_top_k, "op9_url_filter": op9_url_filter,
            "op10_language_id": op10_language_id}
 ORACLES = {"op1_minhash_dedup": OP1_SQL, "op8_top_k": OP8_SQL, "op9_url_filter": OP9_SQL}
