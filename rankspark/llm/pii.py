@@ -258,6 +258,8 @@ def digests(found: Column) -> list[Column]:
     """n_email ... n_phone and base_sha256 of the base spans, and ``spans`` of all."""
     def named(x: Column) -> Column:
         return F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    def count(kind: str) -> Column:
+        return F.size(F.filter(found, lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
     own = F.filter(found, lambda s: s["base"])
-    counts = [F.size(F.filter(own, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [count(k) for k in KINDS]
     return [*counts, F.sha2(named(own), 256).alias("base_sha256"), named(found).alias("spans")]
