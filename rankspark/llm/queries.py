@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankspark.llm import bpe, decontaminate, html, langid, minhash, pii, topk, urls
+from rankspark.llm import bpe, decontaminate, html, langid, licences, minhash, pii, topk, urls, warc
 from rankspark.llm.common import table
 
 UPPER, LOWER = urls.UPPER, urls.LOWER
@@ -42,11 +42,21 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id and the fields of its metadata and conversion records."""
+    return warc.derived(warc.responses(table(spark, sf_dir, "pages"))).withColumnRenamed("key", "page_id")
+
+
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url, text, n_chars."""
     return html.main_text(table(spark, sf_dir, "pages"))
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, paragraph, family, probability, confirmed_by of every licence paragraph."""
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), digest=True)
@@ -83,6 +93,6 @@ f AS (SELECT page_id, host, path, arg_max(h||q, length(h||q)) AS rule, arg_max(s
 l AS (SELECT *, list_has_any(list_transform(range(1, 1+len(string_split(host,'.'))), lambda i: array_to_string(string_split(host,'.')[i:], '.')), {BLOCKED}) AS listed FROM f)
 SELECT page_id, host, path, rule, coalesce(says, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed FROM l"""
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_pii": op2_pii, "op3_decontaminate": op3_decontaminate, "op5_main_text": op5_main_text, "op7_byte_bpe": op7_byte_bpe, "op8_top_k": op8_top_k, "op9_url_filter": op9_url_filter,
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_pii": op2_pii, "op3_decontaminate": op3_decontaminate, "op4_warc": op4_warc, "op5_main_text": op5_main_text, "op6_licences": op6_licences, "op7_byte_bpe": op7_byte_bpe, "op8_top_k": op8_top_k, "op9_url_filter": op9_url_filter,
            "op10_language_id": op10_language_id}
 ORACLES = {"op1_minhash_dedup": OP1_SQL, "op8_top_k": OP8_SQL, "op9_url_filter": OP9_SQL}
