@@ -149,6 +149,17 @@ class Codec:
                       for first, rest in zip(self.first, self.rest, strict=True)) for x in cut]
 
 
+_CODECS: dict[str, Codec] = {}
+
+
+def _codec(name: str, sent, pattern: str) -> Codec:
+    """This worker process's codec: tasks that follow in the same process find the units learned before."""
+    if name not in _CODECS:
+        _CODECS.clear()
+        _CODECS[name] = Codec(sent.value, pattern)
+    return _CODECS[name]
+
+
 def _cut(text: str) -> list[str]:
     if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _ODD_SPACE.search(text):
         return _CUT.split(text)
@@ -167,10 +178,12 @@ def codec(spark: SparkSession, path: str, pattern: str = PATTERN, digest: bool =
     The rank file (about a megabyte, whatever the corpus) is read once on the driver and broadcast. Special tokens are
     ordinary text. A null or empty text has no tokens. Texts are encoded whole, however long.
     """
-    sent = spark.sparkContext.broadcast(read_ranks(path))
+    ranks = read_ranks(path)
+    name = hashlib.sha256(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()
+    sent = spark.sparkContext.broadcast(ranks)
 
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = Codec(sent.value, pattern)
+        own = _codec(name, sent, pattern)
         for column in parts:
             out: list = []
             waiting: list[str] = []
