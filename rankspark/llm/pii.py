@@ -21,7 +21,7 @@ KINDS = ("email", "ip", "card", "phone")
 #: Windows of so many characters begin every STEP characters.
 WIDTH, STEP = 96, 64
 #: Snippets that the tagger is trained on, at most.
-SAMPLE = 400
+SAMPLE = 1200
 RUN_WINDOWS = 4096
 
 # A digit run is matched from its start or not at all, which is what leftmost matching does, in linear time.
@@ -125,7 +125,7 @@ def examples(snippets: list[str]) -> tuple[np.ndarray, np.ndarray]:
             parts.append(text[at:])
             marks.append(np.zeros(len(text) - at, np.int64))
             codes, mark = _codes("".join(parts)), np.concatenate(marks)
-            shift = turn * 7 % 40
+            shift = turn * 13 % max(1, min(90, len(codes) - 40))
             codes, mark = codes[shift:shift + WIDTH], mark[shift:shift + WIDTH]
             windows.append(np.pad(codes, (0, WIDTH - len(codes)), constant_values=PAD))
             tags.append(np.pad(mark, (0, WIDTH - len(mark))))
@@ -137,11 +137,12 @@ def _codes(text: str) -> np.ndarray:
 
 
 def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Tagger | None:
-    """A tagger trained on snippets around the first likely span of ``sample`` documents (those of least hash), or None
+    """A tagger trained on snippets around the first digit or sign of ``sample`` documents (those of least hash), or None
     if there is none. The sample bounds the labelled rows; it does not bound what is searched."""
-    snippet = F.regexp_extract(F.col(f"`{text}`"), r"(?s).{0,60}(?:[A-Za-z0-9]@[A-Za-z0-9]|\+[0-9]|[0-9]{13}|[0-9]\.[0-9]{1,3}\.[0-9]).{0,110}", 0)
-    rows = docs.select(snippet.alias("s")).where("s <> ''").distinct().orderBy(F.xxhash64("s"), "s").limit(sample).collect()
-    snippets = [r.s for r in rows if base(r.s)]
+    at = F.regexp_instr(F.col(f"`{text}`"), F.lit("[0-9@+]"))
+    snippet = F.substring(F.col(f"`{text}`"), F.greatest(at - 60, F.lit(1)), F.lit(180))
+    rows = (docs.where(at > 0).select(snippet.alias("s")).distinct().orderBy(F.xxhash64("s"), "s").limit(sample).collect())
+    snippets = [r.s for r in rows if base(r.s)]  # labelled by their base spans
     return train(*examples(snippets), len(KINDS) + 1) if snippets else None
 
 
@@ -176,17 +177,37 @@ def added(model: Tagger, texts: list[str], found: list[list[Span]]) -> list[list
             lo = k * STEP + (margin if k else 0)
             hi = min(len(text), k * STEP + WIDTH - margin if k * STEP + WIDTH < len(text) else len(text))
             tags[lo:hi] = path[lo - k * STEP:hi - k * STEP]
-        change = np.flatnonzero(np.diff(tags, prepend=0, append=0))
         taken = sorted((a, b) for _, a, b, _ in found[i])
-        for a, b in zip(change, change[1:], strict=False):
-            if tags[a]:
-                kind = KINDS[tags[a] - 1]
-                while a < b and not (text[a].isalnum() or text[a] in "+("):
-                    a += 1
-                while a < b and not text[b - 1].isalnum():
-                    b -= 1
-                if a < b and not any(x < b and a < y for x, y in taken) and plausible(kind, text[a:b]):
-                    out[i].append((kind, int(a), int(b), False))
+        for kind, a, b in _whole(text, tags):
+            if not any(x < b and a < y for x, y in taken) and plausible(kind, text[a:b]):
+                out[i].append((kind, a, b, False))
+    return out
+
+
+def _whole(text: str, tags: np.ndarray) -> list[tuple[str, int, int]]:
+    """Runs of one tag, grown to white space (at most a window's width) and joined where they then meet, without punctuation around them."""
+    change = np.flatnonzero(np.diff(tags, prepend=0, append=0)).tolist()
+    grown: list[list[int]] = []
+    for a, b in zip(change, change[1:], strict=False):
+        tag = int(tags[a]) if a < len(tags) else 0
+        if tag:
+            least, most = max(0, a - WIDTH), min(len(text), b + WIDTH)
+            while a > least and not text[a - 1].isspace():
+                a -= 1
+            while b < most and not text[b].isspace():
+                b += 1
+            if grown and grown[-1][0] == tag and a <= grown[-1][2]:
+                grown[-1][2] = max(b, grown[-1][2])
+            else:
+                grown.append([tag, a, b])
+    out = []
+    for tag, a, b in grown:
+        while a < b and not (text[a].isalnum() or text[a] in "+("):
+            a += 1
+        while a < b and not text[b - 1].isalnum():
+            b -= 1
+        if a < b:
+            out.append((KINDS[tag - 1], a, b))
     return out
 
 
