@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 #: The pre-token pattern of the rank file (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts are worked through in runs of about so many characters, words in runs of so many; bounds a task's memory.
-RUN_CHARS, RUN_WORDS, KEEP_UNITS = 1 << 21, 40_000, 250_000
+RUN_CHARS, RUN_WORDS, KEEP_UNITS = 1 << 20, 40_000, 200_000
 #: Longer words are merged round by round in a table that is replaced, since a recursion keeps what every round made.
 LONG_WORD = 160
 
@@ -84,7 +84,7 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         import duckdb
 
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         splits = [(ranks[t[:i]], ranks[t[i:]], n) for t, n in ranks.items() for i in range(1, len(t))
                   if t[:i] in ranks and t[i:] in ranks]
         left, right, merged = zip(*splits, strict=True) if splits else ((), (), ())
@@ -149,17 +149,6 @@ class Codec:
                       for first, rest in zip(self.first, self.rest, strict=True)) for x in cut]
 
 
-_CODECS: dict[str, Codec] = {}
-
-
-def _codec(name: str, sent, pattern: str) -> Codec:
-    """This worker process's codec: tasks that follow in the same process find the units learned before."""
-    if name not in _CODECS:
-        _CODECS.clear()
-        _CODECS[name] = Codec(sent.value, pattern)
-    return _CODECS[name]
-
-
 def _cut(text: str) -> list[str]:
     if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _ODD_SPACE.search(text):
         return _CUT.split(text)
@@ -178,12 +167,10 @@ def codec(spark: SparkSession, path: str, pattern: str = PATTERN, digest: bool =
     The rank file (about a megabyte, whatever the corpus) is read once on the driver and broadcast. Special tokens are
     ordinary text. A null or empty text has no tokens. Texts are encoded whole, however long.
     """
-    ranks = read_ranks(path)
-    name = hashlib.sha256(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()
-    sent = spark.sparkContext.broadcast(ranks)
+    sent = spark.sparkContext.broadcast(read_ranks(path))
 
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = _codec(name, sent, pattern)
+        own = Codec(sent.value, pattern)
         for column in parts:
             out: list = []
             waiting: list[str] = []
