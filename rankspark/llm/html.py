@@ -1,7 +1,7 @@
 """Main text of web pages: boosted trees over DOM nodes, decoded over the tree.
 
 Every element gets a score from its subtree's size and density, its attribute tokens, its ancestors, depth and siblings. The
-decoding maximises the sum of scores under one rule: below a kept element everything is kept, below a dropped one everything
+decoding maximises the sum of scores, less a cost for each undecided element, under one rule: below a kept element everything is kept, below a dropped one everything
 is dropped, and only an undecided element may have both. The trees are trained on generated layouts with known parts.
 """
 from __future__ import annotations
@@ -29,6 +29,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Content that is never text of a page.
 RAW = frozenset("script style noscript template iframe svg math textarea select option button title object canvas audio video head".split())
 _UNPARSED = frozenset("script style textarea title iframe".split())
+#: What an element with both kept and dropped parts costs.
+MIXED = 1.0
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer
 form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody thead tfoot tr caption ul""".split())
 #: An opening tag of the key closes an open element of the value.
@@ -197,7 +199,7 @@ def decode(page: Page, score: np.ndarray) -> np.ndarray:
     """Whether each element is kept: the labelling of greatest total score without a kept element below a dropped one or a
     dropped one below a kept one. An undecided element with own text is kept if its own score is positive."""
     n = len(score)
-    keep, drop, best = score.tolist(), (-score).tolist(), [0.0] * n
+    keep, drop, best = score.tolist(), (-score).tolist(), [-MIXED] * n
     for i in range(n - 1, 0, -1):
         top = max(keep[i], drop[i], best[i])
         p = page.parent[i]

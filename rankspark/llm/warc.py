@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from rankspark.llm import html as dom
 
-VERSION, END = "WARC/1.1\r\n", "\r\n\r\n"
+VERSION, LINE = "WARC/1.1\r\n", "\r\n"
 #: One response record: its WARC headers in order, and its block (HTTP header and payload).
 RESPONSE = "warc_headers array<struct<name: string, value: string>>, block string"
 RECORD = ("warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, "
@@ -109,18 +109,18 @@ def derived(source: DataFrame) -> DataFrame:
 
 
 def serialised(records: DataFrame) -> Column:
-    """One WARC record as text; lengths are those of its UTF-8 bytes."""
+    """One WARC record as text, but for the line break that ends it; lengths are those of its UTF-8 bytes."""
     def line(name: str, value: Column) -> Column:
         return F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise("")
     names = {"warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "target_uri": "WARC-Target-URI",
              "warc_date": "WARC-Date", "block_digest": "WARC-Block-Digest", "payload_digest": "WARC-Payload-Digest", "content_type": "Content-Type", "content_length": "Content-Length"}
     head = [line(v, F.col(k).cast("string")) for k, v in names.items()]
-    return F.concat(F.lit(VERSION), *head, F.lit("\r\n"), F.col("block"), F.lit(END))
+    return F.concat(F.lit(VERSION), *head, F.lit(LINE), F.col("block"), F.lit(LINE))
 
 
 def write(records: DataFrame, path: str) -> None:
     """Record files, one per task."""
-    records.select(serialised(records).alias("value")).write.option("lineSep", "").text(path)
+    records.select(serialised(records).alias("value")).write.option("lineSep", LINE).text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
