@@ -1,7 +1,7 @@
 """Ranking metrics per query and their summaries."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -161,17 +161,13 @@ def hit_quadrants(q: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataF
                               count(~x & y).alias("only_b"), count(~x & ~y).alias("neither"))
 
 
-def gap_taxonomy(q: DataFrame, a: str, b: str, fused: str, oracle: str, hard=None) -> DataFrame:
-    """Who hits where the fused list misses; flags are not exclusive."""
-    A, B, X, O = (F.col(c) == 1 for c in (a, b, fused, oracle))
-    hard = F.lit(False) if hard is None else hard
-    cats = {
-        "c0_fused_hit": X, "c1_oracle_hit_fused_miss": O & ~X, "c2_a_hit_fused_miss": A & ~X,
-        "c3_b_hit_fused_miss": B & ~X, "c4_a_or_b_hit_fused_miss": (A | B) & ~X,
-        "c5_a_and_b_hit_fused_miss": A & B & ~X, "c6_only_oracle_hit": ~A & ~B & O & ~X,
-        "c7_all_miss": ~A & ~B & ~X & ~O, "c8_hard_segment_loss": hard & B & ~X,
-    }
-    return q.agg(F.count("*").alias("n"), *[F.sum(flag(c)).cast("bigint").alias(k) for k, c in cats.items()])
+def hit_patterns(q: DataFrame, hits: Mapping[str, str], marks: Mapping[str, Column] | None = None) -> DataFrame:
+    """Which of any number of rankers hit together: one row per pattern (names joined by ``+``, ``none`` if empty) with
+    its number of queries, and how many of them carry each mark."""
+    names = F.array_compact(F.array(*[F.when(F.col(c) == 1, F.lit(n)) for n, c in sorted(hits.items())]))
+    pattern = F.when(F.size(names) > 0, F.array_join(names, "+")).otherwise("none")
+    return q.groupBy(pattern.alias("hits")).agg(
+        F.count("*").alias("n"), *[F.sum(flag(m)).cast("bigint").alias(f"n_{k}") for k, m in (marks or {}).items()])
 
 
 def rank_bin_flow(q: DataFrame, bin_a: Column, bin_b: Column) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankspark.functions.hashing import hash_fold
-from rankspark.functions.scalar import action_tier, r6
+from rankspark.functions.scalar import first_match, r6
 from rankspark.operators import fusion as X
 from rankspark.operators import metrics as M
 from rankspark.operators import priors as P
@@ -15,7 +15,7 @@ from rankspark.plans import fixtures as fx
 from rankspark.plans.benchmark_queries import metric_sql
 from rankspark.plans.prior_queries import rounded
 from rankspark.plans.registry import query
-from rankspark.plans.scalar_queries import FLAGS, candidate_flags
+from rankspark.plans.scalar_queries import FLAGS, OTHER_TIER, candidate_flags, tier_rules
 
 
 def lists(spark, d, n: int = 50):
@@ -181,9 +181,7 @@ TIER_SQL = """CASE WHEN pending=1 THEN 'Tier0_DATA_PENDING' WHEN reject=1 THEN '
 
 
 def tiered(spark, d):
-    one = lambda c: F.col(c) == 1
-    return flagged(spark, d).withColumn("tier", action_tier(one("pending"), one("reject"), F.lit(False), one("warning"),
-                                                            one("geometry"), one("ready")))
+    return flagged(spark, d).withColumn("tier", first_match(tier_rules(), OTHER_TIER))
 
 
 @query("two_mode_profile", "X13", fx.sql(f"""SELECT mode, n_queries, {", ".join(f"n_{t}" for t in TIERS)}, any_reject, mode_overlap FROM (SELECT mode, count(*) AS n_queries, {", ".join(f"sum(n_{t})::BIGINT AS n_{t}" for t in TIERS)}, sum((n_Tier3_HARD_REJECT>0)::INT)::BIGINT AS any_reject FROM (

@@ -143,11 +143,10 @@ def fused_hits(spark, d):
     return w.withColumn("oracle", F.greatest("hit10_a", "hit10_b"))
 
 
-@query("gap_taxonomy", "M16", fx.sql("""SELECT count(*) AS n, sum(x::INT)::BIGINT AS c0_fused_hit, sum(((a OR b) AND NOT x)::INT)::BIGINT AS c1_oracle_hit_fused_miss, sum((a AND NOT x)::INT)::BIGINT AS c2_a_hit_fused_miss, sum((b AND NOT x)::INT)::BIGINT AS c3_b_hit_fused_miss,
- sum(((a OR b) AND NOT x)::INT)::BIGINT AS c4_a_or_b_hit_fused_miss, sum((a AND b AND NOT x)::INT)::BIGINT AS c5_a_and_b_hit_fused_miss, 0::BIGINT AS c6_only_oracle_hit, sum((NOT a AND NOT b AND NOT x)::INT)::BIGINT AS c7_all_miss,
- sum((anchor IN ('n1','n5') AND b AND NOT x)::INT)::BIGINT AS c8_hard_segment_loss FROM wx""", FUSED))
+@query("gap_taxonomy", "M16", fx.sql("""SELECT CASE WHEN a OR b OR x THEN array_to_string(list_filter([CASE WHEN a THEN 'a' END, CASE WHEN b THEN 'b' END, CASE WHEN x THEN 'fused' END], lambda h: h IS NOT NULL), '+') ELSE 'none' END AS hits,
+ count(*) AS n, sum((anchor IN ('n1','n5'))::INT)::BIGINT AS n_hard FROM wx GROUP BY 1""", FUSED))
 def gap_taxonomy(spark, d):
-    return M.gap_taxonomy(fused_hits(spark, d), "hit10_a", "hit10_b", "hit10_x", "oracle", F.col("anchor").isin("n1", "n5"))
+    return M.hit_patterns(fused_hits(spark, d), {"a": "hit10_a", "b": "hit10_b", "fused": "hit10_x"}, {"hard": F.col("anchor").isin("n1", "n5")})
 
 
 @query("policy_metrics", "M17", fx.sql(f"""SELECT policy, quadrant, count(*) AS n, round(avg(captured),6) AS capture_rate, round(avg(rejects),6) AS reject_rate, round(avg(readys),6) AS ready_rate FROM (

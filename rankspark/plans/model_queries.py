@@ -8,6 +8,7 @@ from rankspark.functions.hashing import hash_fold
 from rankspark.functions.scalar import edge_weight, r6
 from rankspark.operators import fusion as X
 from rankspark.operators import metrics as M
+from rankspark.operators import contextual
 from rankspark.operators import models as MO
 from rankspark.operators import pairs as PR
 from rankspark.operators import priors as P
@@ -46,10 +47,10 @@ def external_validation(spark, d):
 @query("contextual_variants", "R9 P16")
 def contextual_variants(spark, d):
     tr, te = sides(spark, d, 1)
-    names = list(MO.CONTEXTUAL_VARIANTS)
-    for v in names:
-        te = MO.predict_contextual(MO.fit_contextual(tr, 0.1, MO.CONTEXTUAL_VARIANTS[v], max_iter=30), te, out=f"score_{v}")
-    return _summary(MO.method_summary(te, names))
+    variants = contextual.leave_one_out()
+    for name, parts in variants.items():
+        te = contextual.fit(tr, 0.1, parts).score(te, f"score_{name}")
+    return _summary(MO.method_summary(te, list(variants)))
 
 
 RIDGE_SQL = """tr AS (SELECT m.*, sim, phi FROM ft m JOIN sd ON sd.anchor=m.anchor WHERE is_tr),
@@ -70,7 +71,7 @@ def ridge_content(spark, d):
 def gradient_boosting(spark, d):
     tr, te = sides(spark, d)
     cols = FEATURES + ["score_a", "score_b"]
-    return _summary(MO.method_summary(MO.predict_vector_model(MO.fit_boosting(tr, cols, 3, 8), te, cols, "score_gbt"), ["gbt"]))
+    return _summary(MO.method_summary(MO.predict_vector_model(MO.fit_boosting(tr, cols), te, cols, "score_gbt"), ["gbt"]))
 
 
 @query("pairwise_ranker", "R12 N10")
@@ -88,7 +89,7 @@ def pairwise_ranker(spark, d):
 def position_weighted(spark, d):
     tr, te = sides(spark, d)
     w = MO.position_weights(R.rank_candidates(tr, "score_a", "rank_a"), "rank_a")
-    m = MO.fit_logistic(w, FEATURES + ["score_b"], weight="weight", max_iter=30)
+    m = MO.fit_logistic(w, FEATURES + ["score_b"], weight="weight", max_iter=100)
     return _summary(MO.method_summary(te.withColumn("score_pw", m.score()), ["pw"]))
 
 
@@ -104,7 +105,7 @@ def factorisation_machine(spark, d):
 @query("pca_features", "R16")
 def pca_features(spark, d):
     tr, te, names = MO.pca_columns(*sides(spark, d), FEATURES, 3)
-    m = MO.fit_logistic(tr, names + ["score_a"], max_iter=30)
+    m = MO.fit_logistic(tr, names + ["score_a"], max_iter=100)
     return _summary(MO.method_summary(te.withColumn("score_pca", m.score()), ["pca"]))
 
 
@@ -124,13 +125,13 @@ def ablation(spark, d):
 @query("permutation_importance", "M22")
 def permutation_importance(spark, d):
     tr, te = sides(spark, d)
-    m = MO.fit_logistic(tr, FEATURES + ["score_a"], max_iter=30)
-    return _summary(MO.permutation_importance(te, m, ["sim", "d1", "score_a"], 2, ["query_id", "candidate"]))
+    m = MO.fit_logistic(tr, FEATURES + ["score_a"], max_iter=100)
+    return _summary(MO.permutation_importance(te, m, FEATURES + ["score_a"], 3, ["query_id", "candidate"]))
 
 
 @query("relative_weights", "A14")
 def relative_weights(spark, d):
-    return rounded(MO.relative_weights(cut_lineage(fx.featured(spark, d)), ["sim", "d1", "score_a", "score_b"]), "corr", "relative_weight")
+    return rounded(MO.relative_weights(cut_lineage(fx.featured(spark, d)), FEATURES + ["score_a", "score_b"]), "corr", "relative_weight")
 
 
 @query("external_holdout", "L12")

@@ -207,15 +207,25 @@ def candidate_flags(spark, d):
         f((F.col("kind") == "PROMO") & (F.col("size") <= 2)).alias("pending"))
 
 
+#: Labels of the tiers (fixed values).
+PENDING_TIER, REJECT_TIER, EXPERT_TIER = "Tier0_DATA_PENDING", "Tier3_HARD_REJECT", "Tier2_EXPERT_REVIEW"
+STANDARD_TIER, OTHER_TIER = "Tier1_STANDARD_REVIEW", "TierX_OTHER_REVIEWABLE"
+
+
+def tier_rules(*more_for_experts):
+    """Rules of the test flags; ``more_for_experts`` are further grounds for a closer look."""
+    raised = {c: F.col(c) == 1 for c in ("pending", "reject", "warning", "geometry", "ready")}
+    experts = F.greatest(raised["warning"], raised["geometry"], *more_for_experts)
+    return {PENDING_TIER: raised["pending"], REJECT_TIER: raised["reject"], EXPERT_TIER: experts, STANDARD_TIER: raised["ready"]}
+
+
 @query("action_tier", "P14", fx.sql("""SELECT CASE WHEN pending=1 THEN 'Tier0_DATA_PENDING' WHEN reject=1 THEN 'Tier3_HARD_REJECT'
  WHEN (rank_b<=50 AND rank_a>50) OR warning=1 OR geometry=1 THEN 'Tier2_EXPERT_REVIEW' WHEN ready=1 THEN 'Tier1_STANDARD_REVIEW'
  ELSE 'TierX_OTHER_REVIEWABLE' END AS tier, count(*) AS n, sum(label)::BIGINT AS positives FROM rk JOIN cf ON cf.candidate=rk.candidate
  WHERE rank_a<=50 OR rank_b<=50 GROUP BY 1""", FLAGS))
 def action_tier(spark, d):
     r = fx.ranked(spark, d).where("rank_a <= 50 or rank_b <= 50").join(candidate_flags(spark, d), "candidate")
-    one = lambda c: F.col(c) == 1
-    tier = S.action_tier(one("pending"), one("reject"), (F.col("rank_b") <= 50) & (F.col("rank_a") > 50),
-                         one("warning"), one("geometry"), one("ready"))
+    tier = S.first_match(tier_rules((F.col("rank_b") <= 50) & (F.col("rank_a") > 50)), OTHER_TIER)
     return r.groupBy(tier.alias("tier")).agg(F.count("*").alias("n"), F.sum("label").cast("bigint").alias("positives"))
 
 
@@ -228,10 +238,16 @@ SELECT CASE WHEN dist IS NULL THEN 'GENERATION_FAIL' WHEN clean=false OR clash>0
  ELSE 'UNCLASSIFIED' END AS bucket, count(*) AS n FROM x GROUP BY 1""")
 def review_bucket(spark, d):
     li = fx.table(spark, d, "lineitem", "l_linenumber", "l_tax", "l_returnflag", "l_discount", "l_quantity")
-    b = S.review_bucket(F.when(F.col("l_linenumber") < 7, F.col("l_tax") * 25.0),
-                        F.when(F.col("l_returnflag") == "A", True).when(F.col("l_returnflag") == "R", False),
-                        F.when(F.col("l_linenumber") != 6, F.col("l_discount") * 6.0),
-                        F.col("l_quantity") > 40, F.lit(None).cast("boolean"))
+    far = F.when(F.col("l_linenumber") < 7, F.col("l_tax") * 25.0)
+    clean = F.col("l_returnflag") == "A"
+    bumps = F.when(F.col("l_linenumber") != 6, F.col("l_discount") * 6.0) > 0.5
+    warned = F.col("l_quantity") > 40
+    fits = clean & ~F.coalesce(bumps, F.lit(False))
+    # labels are fixed values; the caller's order decides
+    b = S.first_match({
+        "GENERATION_FAIL": far.isNull(), "HARD_CLASH": (F.col("l_returnflag") == "R") | bumps,
+        "REVIEW_READY": fits & (far < 1.0) & ~warned, "GEOMETRY_OK_PROPERTY_SHIFT": fits & (far < 1.0), "NEEDS_MEDCHEM_REVIEW": warned,
+        "CLEAN_BUT_SEMANTIC_WARNING": fits & (far < 2.0), "POOR_GEOMETRY": clean & (far >= 2.0)}, "UNCLASSIFIED")
     return li.groupBy(b.alias("bucket")).agg(F.count("*").alias("n"))
 
 

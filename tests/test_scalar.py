@@ -64,13 +64,10 @@ def test_random_hit_closed_form(spark):
         assert abs(got - want) < 1e-12
 
 
-def test_tiers_and_buckets_are_total(spark):
-    df = spark.createDataFrame([(None, True, 0.1, False), (0.5, False, 0.1, False), (0.5, True, None, False), (0.5, True, 0.2, True),
-                                (1.5, True, 0.2, True), (1.5, True, 0.2, False), (2.5, True, 0.2, False), (1.5, None, 0.2, False)],
-                               "d double, clean boolean, clash double, w boolean")
-    got = [r[0] for r in df.select(S.review_bucket("d", "clean", "clash", "w", F.lit(False))).collect()]
-    assert got == ["GENERATION_FAIL", "HARD_CLASH", "REVIEW_READY", "GEOMETRY_OK_PROPERTY_SHIFT", "NEEDS_MEDCHEM_REVIEW",
-                   "CLEAN_BUT_SEMANTIC_WARNING", "POOR_GEOMETRY", "UNCLASSIFIED"]
+def test_first_match_takes_the_first_rule_that_holds(spark):
+    df = spark.createDataFrame([(None, True), (1, True), (2, False), (5, None)], "x int, y boolean")
+    rule = S.first_match({"one": F.col("x") == 1, "small": F.col("x") < 3, "yes": F.col("y")}, "other")
+    assert [r[0] for r in df.select(rule).collect()] == ["yes", "one", "small", "other"]
 
 
 def test_exact_quantiles_and_ranks_against_pandas(spark):
