@@ -10,6 +10,7 @@ from rankspark.operators.ranking import md5_bucket_row_number
 from rankspark.schema import flag
 
 BLOCK = 128
+#: Size from which the report of groups flags one as large.
 BIG_GROUP = 100
 
 
@@ -19,21 +20,16 @@ def group_members(records: DataFrame, keys: Sequence[str], fragment="fragment",
 
 
 def mine_pairs(records: DataFrame, keys: Sequence[str] = ("core", "context"), fragment="fragment",
-               entity="entity", cap: int | None = None, block: int = BLOCK) -> DataFrame:
+               entity="entity", block: int = BLOCK) -> DataFrame:
     """Directed old -> new pairs of different fragments in one group.
 
     A group with more than ``block`` members is cut into hash blocks and joined block by block, so no join key ever
     holds more than about block x block pairs: a hot group is spread over many tasks and its result stays whole.
-    ``cap`` is the optional pair limit per group of more than 100 members: members stand on a hash ring and each is
-    paired with the next ``cap / n`` ones, which is linear in n and reported in ``capped``.
     """
     keys = list(keys)
     m = group_members(records, keys, fragment, entity)
     size = m.groupBy(*keys).agg(F.count("*").alias("group_size")).where("group_size >= 2")
     m = m.join(size, keys)
-    if cap is not None:
-        big = m.where(F.col("group_size") > BIG_GROUP)
-        m = m.where(F.col("group_size") <= BIG_GROUP)
     nb = F.ceil(F.col("group_size") / block).cast("int")
     mine = F.pmod(F.xxhash64(fragment), nb).cast("int")
     others = F.sequence(F.lit(0), nb - 1)
@@ -42,15 +38,6 @@ def mine_pairs(records: DataFrame, keys: Sequence[str] = ("core", "context"), fr
     b = m.select(*keys, F.col(fragment).alias("new_fragment"), F.col(entity).alias("new_id"),
                  mine.alias("_y"), F.explode(others).alias("_x"))
     p = a.join(b, [*keys, "_x", "_y"]).where(F.col("old_fragment") != F.col("new_fragment")).drop("_x", "_y")
-    p = p.withColumn("capped", F.lit(0))
-    if cap is not None:
-        ring = md5_bucket_row_number(big, "ring", [*keys, fragment], "_i", within=keys)
-        width = F.greatest(F.least(F.floor(F.lit(cap) / F.col("group_size")), F.col("group_size") - 1), F.lit(1))
-        left = ring.withColumn("_j", F.explode(F.sequence(F.lit(1).cast("bigint"), width.cast("bigint")))).select(
-            *keys, "group_size", F.col(fragment).alias("old_fragment"), F.col(entity).alias("old_id"),
-            (F.pmod(F.col("_i") - 1 + F.col("_j"), F.col("group_size")) + 1).alias("_i"))
-        right = ring.select(*keys, "_i", F.col(fragment).alias("new_fragment"), F.col(entity).alias("new_id"))
-        p = p.unionByName(left.join(right, [*keys, "_i"]).drop("_i").withColumn("capped", F.lit(1)))
     return p.withColumn("transform", F.concat_ws(">>", "old_fragment", "new_fragment")).withColumn(
         "pair_id", stable_hash(16, *keys, "old_fragment", "new_fragment"))
 
@@ -62,11 +49,10 @@ def group_explosion_report(records: DataFrame, keys: Sequence[str], fragment="fr
         "capped", flag(F.col("n") > BIG_GROUP))
 
 
-def transform_frequency(pairs: DataFrame, top: int | None = None, recurrent: int = 5) -> DataFrame:
-    """A5: how often each transform was mined; ``top`` gives the report of the most frequent ones."""
-    t = pairs.groupBy("transform").agg(F.count("*").alias("n")).withColumn(
+def transform_frequency(pairs: DataFrame, recurrent: int = 5) -> DataFrame:
+    """A5: how often each transform was mined."""
+    return pairs.groupBy("transform").agg(F.count("*").alias("n")).withColumn(
         "recurrent", flag(F.col("n") >= recurrent))
-    return t if top is None else t.orderBy(F.desc("n"), "transform").limit(top)
 
 
 def matrix_queries(records: DataFrame, keys: Sequence[str], dataset: str, min_fragments: int = 2,

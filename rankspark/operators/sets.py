@@ -15,10 +15,10 @@ def concat(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def distractors(everything: DataFrame, targets: DataFrame, known: DataFrame, key: str, seed, n: int) -> DataFrame:
-    """Keys that are neither targets nor known, the first ``n`` in hash order (a top-n over partitions)."""
+def distractors(everything: DataFrame, targets: DataFrame, known: DataFrame, key: str, seed) -> DataFrame:
+    """Keys that are neither targets nor known, with their place in the hash order of ``seed``."""
     left = everything.select(key).distinct().join(targets, key, "left_anti").join(known, key, "left_anti")
-    return left.orderBy(hash_order(seed, key), key).limit(n)
+    return left.withColumn("place", hash_order(seed, key))
 
 
 def topk_jaccard(a: DataFrame, b: DataFrame, k: int, query="query_id", candidate="candidate",

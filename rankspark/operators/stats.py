@@ -9,6 +9,7 @@ from rankspark.functions.bits import let
 from rankspark.functions.hashing import hash_order
 from rankspark.operators.ranking import md5_bucket_row_number
 from rankspark.schema import flag
+from rankspark.session import cut_lineage
 
 
 def _uniform(*parts) -> Column:
@@ -17,23 +18,27 @@ def _uniform(*parts) -> Column:
     return (h + 0.5) / float(16 ** 13)
 
 
-def poisson_total(n: Column, key: Sequence[Column], small: int = 32) -> Column:
-    """Sum of n independent Poisson(1) weights, i.e. one Poisson(n) draw from a hash uniform.
+def poisson_total(n: Column, key: Sequence[Column]) -> Column:
+    """Sum of n independent Poisson(1) weights, i.e. one Poisson(n) draw: inversion of a hash uniform, at every n.
 
-    Exact inversion up to ``small``, normal approximation above.
+    The walk covers eight deviations on either side (beyond them lies less than 1e-14), so a draw takes some 16 sqrt(n) steps.
     """
     x = n.cast("double")
+    k0 = F.greatest(F.floor(x - 8 * F.sqrt(x) - 8), F.lit(0)).cast("double")
+    top = F.ceil(x + 8 * F.sqrt(x) + 8).cast("double")
+
+    def log_factorial(k):
+        z = k + 1.0
+        return F.when(k < 1, 0.0).otherwise((z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * F.pow(z, F.lit(3))))
 
     def invert(v):
-        steps = F.sequence(F.lit(1), F.ceil(v["x"] + 8 * F.sqrt(v["x"]) + 8).cast("int"))
-        start = F.struct(F.exp(-v["x"]).alias("p"), F.exp(-v["x"]).alias("c"), F.lit(0.0).alias("k"))
-        return F.aggregate(steps, start, lambda s, i: F.struct(
+        p0 = F.exp(-v["x"] + v["k0"] * F.log(v["x"]) - log_factorial(v["k0"]))
+        start = F.struct(p0.alias("p"), p0.alias("c"), v["k0"].alias("k"))
+        return F.aggregate(F.sequence((v["k0"] + 1).cast("int"), v["top"].cast("int")), start, lambda s, i: F.struct(
             (s["p"] * v["x"] / i).alias("p"), (s["c"] + s["p"] * v["x"] / i).alias("c"),
             (s["k"] + F.when(v["u"] > s["c"], 1.0).otherwise(0.0)).alias("k")))["k"]
-
-    exact = let(F.struct(x.alias("x"), _uniform(F.lit("u"), *key).alias("u")), invert)
-    z = F.sqrt(-2.0 * F.log(_uniform(F.lit("a"), *key))) * F.cos(_uniform(F.lit("b"), *key) * 6.283185307179586)
-    return F.when(x <= small, exact).otherwise(F.greatest(F.round(x + F.sqrt(x) * z), F.lit(0.0)))
+    drawn = let(F.struct(x.alias("x"), k0.alias("k0"), top.alias("top"), _uniform(F.lit("u"), *key).alias("u")), invert)
+    return F.when(x > 0, drawn).otherwise(0.0)
 
 
 def bootstrap_ci(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None, replicates: int = 1000,
@@ -82,20 +87,21 @@ def two_group_difference(df: DataFrame, value: str, cluster: str, group: str, fi
     return ci.agg(d.alias("difference"), (d - 1.96 * se).alias("low"), (d + 1.96 * se).alias("high"))
 
 
-def sign_flip_exact(diffs: DataFrame, diff: str, limit: int = 20) -> DataFrame:
-    """All 2**n sign vectors of a short list of paired differences."""
-    n = diffs.count()
-    if n > limit:
-        raise ValueError(f"exact test is for at most {limit} differences, got {n}")
-    one = diffs.agg(F.array_sort(F.collect_list(F.col(diff).cast("double"))))
-    r = diffs.sparkSession.range(2 ** n).withColumn("_d", one.scalar())
-    signed = F.aggregate(F.transform("_d", lambda x, i: x * (2 * F.call_function("getbit", F.col("id"), i) - 1)),
-                         F.lit(0.0), lambda a, x: a + x) / n
-    obs = F.aggregate("_d", F.lit(0.0), lambda a, x: a + x) / n
-    t = r.select(F.round(signed, 12).alias("s"), F.round(obs, 12).alias("o"))
-    return t.agg(F.lit(n).cast("bigint").alias("n"), F.max("o").alias("mean_diff"),
-                 F.avg(flag(F.col("s") >= F.col("o"))).alias("one_sided_p"),
-                 F.avg(flag(F.abs("s") >= F.abs("o"))).alias("two_sided_p"))
+def sign_flip_exact(diffs: DataFrame, diff: str) -> DataFrame:
+    """Exact distribution of the mean over all sign vectors of paired differences, by convolution.
+
+    One row per distinct partial sum (to nine digits) with its number of sign vectors: differences on a grid stay few rows
+    however many there are.
+    """
+    values = [float(r[0]) for r in diffs.select(F.col(diff).cast("double").alias("x")).orderBy("x").toLocalIterator()]
+    t = diffs.sparkSession.range(1).select(F.lit(0.0).alias("s"), F.lit(1.0).alias("n"))
+    for i, x in enumerate(values, 1):
+        t = t.select(F.explode(F.array(*[F.round(F.col("s") + sign * x, 9) for sign in (1, -1)])).alias("s"), "n").groupBy("s").agg(F.sum("n").alias("n"))
+        t = cut_lineage(t) if i % 8 == 0 else t
+    k, o = len(values), round(sum(values), 9)
+    share = lambda keep: F.coalesce(F.sum(F.when(keep, F.col("n"))), F.lit(0.0)) / F.sum("n")
+    return t.agg(F.lit(k).cast("bigint").alias("n"), F.lit(o / max(k, 1)).alias("mean_diff"),
+                 share(F.col("s") >= o - 5e-9).alias("one_sided_p"), share(F.abs("s") >= abs(o) - 5e-9).alias("two_sided_p"))
 
 
 def permute_within_query(df: DataFrame, seed, query="query_id", candidate="candidate", label="label") -> DataFrame:

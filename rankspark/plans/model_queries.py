@@ -264,10 +264,10 @@ def scorer_callback(spark, d):
     return s.groupBy("context").agg(r6(F.avg("c")).alias("by_column"), r6(F.avg("p")).alias("by_pandas"))
 
 
-@query("policy_callback", "K3", fx.sql("""SELECT query_id, candidate, row_number() OVER (PARTITION BY query_id ORDER BY (rank_a>100)::INT, CASE WHEN rank_a<=100 THEN -score_b END, rank_a)::INT AS rank FROM rk QUALIFY rank<=5"""))
+@query("policy_callback", "K3", fx.sql("""SELECT query_id, candidate, row_number() OVER (PARTITION BY query_id ORDER BY score_b DESC, rank_a)::INT AS rank FROM rk QUALIFY rank<=5"""))
 def policy_callback(spark, d):
     s = fx.scored(spark, d).withColumn("score", F.col("score_a"))
-    p = K.rerank_with(s, lambda g: g.sort_values("score_b", ascending=False, kind="stable"), shortlist=100)
+    p = K.rerank_with(s, lambda g: g.sort_values("score_b", ascending=False, kind="stable"))
     return p.where("rank <= 5").select("query_id", "candidate", "rank")
 
 

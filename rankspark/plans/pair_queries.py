@@ -33,21 +33,14 @@ def mine_pairs_large_groups(spark, d):
     return p.groupBy("core", "context", "group_size").agg(F.count("*").alias("pairs"))
 
 
-@query("mine_pairs_capped", "J1", FR + """, mem AS (SELECT l_partkey%1 AS z, context, fragment FROM (SELECT 0 AS l_partkey, context, fragment FROM fr) GROUP BY ALL)
-SELECT context, n AS group_size, (CASE WHEN n>100 THEN n*greatest(least(floor(1000/n),n-1),1) ELSE n*(n-1) END)::BIGINT AS pairs, (n>100)::INT AS capped FROM (SELECT context, count(*) AS n FROM mem GROUP BY ALL)""")
-def mine_pairs_capped(spark, d):
-    p = PR.mine_pairs(fx.fragments(spark, d), keys=["context"], cap=1000)
-    return p.groupBy("context", "group_size").agg(F.count("*").alias("pairs"), F.max("capped").alias("capped"))
-
-
 @query("group_explosion_report", "A5", FR + """ SELECT core_s AS core, context, n, (n*(n-1)/2)::BIGINT AS pairs, (n>100)::INT AS capped FROM (SELECT core_s, context, count(DISTINCT fragment) AS n FROM fr GROUP BY ALL)""")
 def group_explosion_report(spark, d):
     return PR.group_explosion_report(fx.fragments(spark, d, "l_suppkey"), ["core", "context"])
 
 
-@query("transform_frequency", "A5", FR + ", " + MEMBERS + " SELECT transform, n, (n>=5)::INT AS recurrent FROM tf ORDER BY n DESC, transform LIMIT 1000")
+@query("transform_frequency", "A5", FR + ", " + MEMBERS + " SELECT transform, n, (n>=5)::INT AS recurrent FROM tf")
 def transform_frequency(spark, d):
-    return PR.transform_frequency(PR.mine_pairs(fx.fragments(spark, d)), top=1000)
+    return PR.transform_frequency(PR.mine_pairs(fx.fragments(spark, d)))
 
 
 def _records(spark, d):

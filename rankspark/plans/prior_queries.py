@@ -343,13 +343,12 @@ def concat_lists(spark, d):
     return u.groupBy("method", "context").agg(F.count("*").alias("n"), F.count("score_b").alias("n_b"))
 
 
-@query("distractors", "U2", """SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity>=48) AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount>=0.1)
- ORDER BY md5('7|'||p_partkey), p_partkey LIMIT 20000""")
+@query("distractors", "U2", """SELECT p_partkey, md5('7|'||p_partkey) AS place FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity>=48) AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount>=0.1)""")
 def distractors(spark, d):
     li = fx.table(spark, d, "lineitem", "l_partkey", "l_quantity", "l_discount")
     key = F.col("l_partkey").alias("p_partkey")
     return U.distractors(fx.table(spark, d, "part", "p_partkey"), li.where("l_quantity >= 48").select(key),
-                         li.where("l_discount >= 0.1").select(key), "p_partkey", 7, 20000)
+                         li.where("l_discount >= 0.1").select(key), "p_partkey", 7)
 
 
 @query("hit_quadrants", "U3", fx.sql(f"""SELECT context, k, sum((a AND b)::INT)::BIGINT AS both, sum((a AND NOT b)::INT)::BIGINT AS only_a, sum((NOT a AND b)::INT)::BIGINT AS only_b, sum((NOT a AND NOT b)::INT)::BIGINT AS neither

@@ -422,16 +422,3 @@ def split_by_anchor(df):
     f"ms AS (SELECT *, {_SPLIT} AS split FROM m)"))
 def dataset_stats(spark, d):
     return A.dataset_stats(split_by_anchor(fx.matrix(spark, d)))
-
-
-@query("source_manifest", "S11")
-def source_manifest(spark, d):
-    return A.source_manifest(spark, d)
-
-
-@query("schema_flags", "S12")
-def schema_flags(spark, d):
-    t = A.schema_flags(spark, d, {"order_lines": ["l_orderkey", "l_partkey"], "texts": ["doc_id", "text"],
-                                  "vectors": ["vec_id", "embedding"]},
-                       {"text": ["text", "html"], "price": ["p_retailprice", "l_extendedprice", "o_totalprice"]})
-    return t.withColumn("columns", F.array_join("columns", ","))

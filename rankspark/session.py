@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for lineage cuts: the one the cluster names, else a temporary one (tests only)."""
+    """Folder for lineage cuts: the one the cluster names. Only a local session may do without and gets a temporary one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return sc._jsc.sc().getCheckpointDir().get()
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
     sc.setCheckpointDir(path)
     return path

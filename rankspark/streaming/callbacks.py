@@ -38,9 +38,9 @@ def score_with(frame: DataFrame, scorer: Column | Callable, *inputs: str, out: s
 
 
 def rerank_with(frame: DataFrame, policy: Callable[[pd.DataFrame], pd.DataFrame], query: str = "query_id",
-                candidate: str = "candidate", shortlist: int = 1000, score: str = "score") -> DataFrame:
-    """K3: a user policy that orders one query's rows. Only the shortlist by ``score`` is handed over, so a group is
-    bounded; the rest keeps its order behind it."""
+                candidate: str = "candidate", score: str = "score") -> DataFrame:
+    """K3: a user policy that orders one query's rows. It sees the whole query in the order of ``score``; a query is as large
+    as the candidate vocabulary."""
     ranked = rank_candidates(frame, score, "_base", query, candidate)
     types = dict(ranked.dtypes)
     cols = [c for c in ranked.columns if c != "_base"]
@@ -49,10 +49,7 @@ def rerank_with(frame: DataFrame, policy: Callable[[pd.DataFrame], pd.DataFrame]
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         o = policy(pdf.sort_values("_base"))
         return o[cols].assign(rank=range(1, len(o) + 1))
-
-    head = ranked.where(F.col("_base") <= shortlist).groupBy(query).applyInPandas(run, schema)
-    tail = ranked.where(F.col("_base") > shortlist).withColumn("rank", F.col("_base").cast("int")).drop("_base")
-    return head.unionByName(tail)
+    return ranked.groupBy(query).applyInPandas(run, schema)
 
 
 def split_with(frame: DataFrame, item: str, keys: Column, seed, **kw) -> DataFrame:

@@ -16,13 +16,6 @@ def test_blocks_give_exactly_all_pairs(spark):
     assert PR.mine_pairs(df, block=7).count() == len(want)
 
 
-def test_cap_is_linear_and_flagged(spark):
-    df = spark.createDataFrame([("t", "hot", "x", f"f{i}", str(i)) for i in range(150)], REC)
-    p = PR.mine_pairs(df, cap=450).collect()
-    assert len(p) == 450 and all(r.capped == 1 for r in p)
-    assert len({(r.old_fragment, r.new_fragment) for r in p}) == 450
-
-
 def test_matrix_labels_and_negatives(spark):
     rows = [("T", "core_a", "C|N", "acetyl", "a1"), ("T", "core_a", "C|N", "propionyl", "a2"),
             ("T", "core_b", "C|N", "benzoyl", "b1"), ("T", "core_b", "C|N", "fluoro", "b2")]
