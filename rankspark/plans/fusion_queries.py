@@ -211,7 +211,7 @@ def propose_random(spark, d):
     return PP.propose_random(fx.query_table(spark, d), v, 10, 11)
 
 
-SPARSE = """sp AS (SELECT DISTINCT query_id, anchor, context, candidate FROM purch WHERE is_train AND l_quantity>=49 AND l_discount>=0.08),
+SPARSE = """sp AS (SELECT DISTINCT query_id, anchor, context, candidate FROM purch WHERE is_train AND anchor NOT IN ('n1','n5') AND context<>'MACHINERY'),
 l1 AS (SELECT anchor, context, candidate, count(*) AS n, row_number() OVER (PARTITION BY anchor, context ORDER BY count(*) DESC, candidate) AS r FROM sp GROUP BY anchor, context, candidate),
 l2 AS (SELECT anchor, candidate, count(*) AS n, row_number() OVER (PARTITION BY anchor ORDER BY count(*) DESC, candidate) AS r FROM sp GROUP BY anchor, candidate),
 l3 AS (SELECT context, candidate, count(*) AS n, row_number() OVER (PARTITION BY context ORDER BY count(*) DESC, candidate) AS r FROM sp GROUP BY context, candidate),
@@ -220,8 +220,9 @@ al AS (SELECT query_id, candidate, r, n, 1 AS lv FROM qt JOIN l1 USING (anchor,
  UNION ALL SELECT query_id, candidate, r, n, 3 FROM qt JOIN l3 USING (context) UNION ALL SELECT query_id, candidate, r, n, 4 FROM qt, l4)"""
 
 
-def sparse_positives(spark, d):
-    return (fx.purchases(spark, d).where("is_train and l_quantity >= 49 and l_discount >= 0.08")
+def held_positives(spark, d):
+    """Train purchases without two anchors and one context, whose queries must fall back."""
+    return (fx.purchases(spark, d).where("is_train AND anchor NOT IN ('n1','n5') AND context<>'MACHINERY'")
             .select("query_id", "anchor", "context", "candidate").distinct())
 
 
@@ -230,7 +231,7 @@ LEVELS = [("transform", ["anchor", "context"]), ("anchor", ["anchor"]), ("contex
 
 @query("propose_frequency", "R2", fx.sql("""SELECT query_id, candidate, r AS rank, n, (['transform','anchor','context','global'])[lv] AS level, (lv>1)::INT AS fallback FROM al WHERE r<=10 QUALIFY lv=min(lv) OVER (PARTITION BY query_id)""", SPARSE))
 def propose_frequency(spark, d):
-    return PP.propose_frequency(fx.query_table(spark, d), sparse_positives(spark, d), 10, LEVELS)
+    return PP.propose_frequency(fx.query_table(spark, d), held_positives(spark, d), 10, LEVELS)
 
 
 @query("two_stage", "R13", fx.sql("""SELECT query_id, candidate, row_number() OVER (PARTITION BY query_id ORDER BY round(0.3::DOUBLE*ln(1.0::DOUBLE+score_a)/10.0::DOUBLE+0.7::DOUBLE*score_c,9) DESC, tie, candidate) AS rank FROM rc WHERE rank_a<=100 QUALIFY rank<=10""", fx.RANKED_C))

@@ -253,8 +253,8 @@ def pos_neg_pairs(spark, d):
                                              r6(F.avg(F.col("diff")[1])).alias("mean_f2"))
 
 
-@query("round_robin_sample", "N11", """WITH s AS (SELECT p_type, count(*) AS stratum_size FROM part WHERE p_size<=20 GROUP BY 1)
-SELECT p_type, p_partkey, turn, (stratum_size < 50.0/(SELECT count(*) FROM s))::INT AS underfilled FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY md5('1|'||p_partkey)) AS turn FROM part WHERE p_size<=20) JOIN s USING (p_type) ORDER BY turn, stratum_size DESC, p_type LIMIT 50""")
+@query("round_robin_sample", "N11", """WITH s AS (SELECT p_type, count(*) AS stratum_size FROM part GROUP BY 1)
+SELECT p_type, p_partkey, turn, (stratum_size < 50.0/(SELECT count(*) FROM s))::INT AS underfilled FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY md5('1|'||p_partkey)) AS turn FROM part) JOIN s USING (p_type) ORDER BY turn, stratum_size DESC, p_type LIMIT 50""")
 def round_robin_sample(spark, d):
-    p = fx.table(spark, d, "part", "p_partkey", "p_type", "p_size").where("p_size <= 20")
+    p = fx.table(spark, d, "part", "p_partkey", "p_type")
     return SA.round_robin_sample(p, "p_type", ["p_partkey"], 50, 1).select("p_type", "p_partkey", "turn", "underfilled")

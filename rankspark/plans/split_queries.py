@@ -101,10 +101,10 @@ def benchmark_contamination(spark, d):
 
 
 @query("annotate_vocab", "L10", fx.sql("""SELECT query_id, vocab_flag, targets, seen_anchor FROM (SELECT q.query_id, CASE WHEN bool_and(v.candidate IS NOT NULL) THEN 'all' WHEN bool_or(v.candidate IS NOT NULL) THEN 'any' ELSE 'none' END AS vocab_flag, count(*) AS targets, max((a.query_id IS NOT NULL)::INT) AS seen_anchor
- FROM qt q JOIN tpos t ON t.query_id=q.query_id LEFT JOIN (SELECT DISTINCT candidate FROM purch WHERE is_train AND l_quantity>=49 AND l_discount>=0.08) v ON v.candidate=t.candidate LEFT JOIN (SELECT DISTINCT query_id FROM pos) a ON a.query_id=q.query_id GROUP BY 1)"""))
+ FROM qt q JOIN tpos t ON t.query_id=q.query_id LEFT JOIN (SELECT DISTINCT candidate FROM purch WHERE is_train AND anchor NOT IN ('n1','n5') AND context<>'MACHINERY') v ON v.candidate=t.candidate LEFT JOIN (SELECT DISTINCT query_id FROM pos) a ON a.query_id=q.query_id GROUP BY 1)"""))
 def annotate_vocab(spark, d):
-    from rankspark.plans.fusion_queries import sparse_positives
-    a = L.annotate_vocab(fx.query_table(spark, d), fx.test_positives(spark, d), sparse_positives(spark, d))
+    from rankspark.plans.fusion_queries import held_positives
+    a = L.annotate_vocab(fx.query_table(spark, d), fx.test_positives(spark, d), held_positives(spark, d))
     a = L.seen_flag(a, fx.train_positives(spark, d), ["query_id"], "seen_anchor")
     return a.select("query_id", "vocab_flag", "targets", "seen_anchor")
 
@@ -118,10 +118,10 @@ def temporal_split(spark, d):
 
 @query("seen_unseen_performance", "L13", fx.sql("""SELECT flag, seen, count(*) AS n, round(avg(hit10_a),6) AS hit10_a, round(avg(mrr_a),6) AS mrr_a FROM (SELECT wm.*, (s.query_id IS NOT NULL)::INT AS q, (t.anchor IS NOT NULL)::INT AS ac FROM wm LEFT JOIN (SELECT DISTINCT query_id FROM sp) s ON s.query_id=wm.query_id
  LEFT JOIN (SELECT DISTINCT anchor, context FROM sp) t ON t.anchor=wm.anchor AND t.context=wm.context), LATERAL (SELECT 'seen_query' AS flag, q AS seen UNION ALL SELECT 'seen_transform', ac) x GROUP BY ALL""",
-    WIDE + ", sp AS (SELECT DISTINCT query_id, anchor, context, candidate FROM purch WHERE is_train AND l_quantity>=49 AND l_discount>=0.08)"))
+    WIDE + ", sp AS (SELECT DISTINCT query_id, anchor, context, candidate FROM purch WHERE is_train AND anchor NOT IN ('n1','n5') AND context<>'MACHINERY')"))
 def seen_unseen_performance(spark, d):
-    from rankspark.plans.fusion_queries import sparse_positives
-    sp = sparse_positives(spark, d)
+    from rankspark.plans.fusion_queries import held_positives
+    sp = held_positives(spark, d)
     w = L.seen_flag(wide(spark, d), sp, ["query_id"], "seen_query")
     w = L.seen_flag(w, sp, ["anchor", "context"], "seen_transform")
     return rounded(L.seen_unseen_performance(w, ["seen_query", "seen_transform"], ["hit10_a", "mrr_a"]), "hit10_a", "mrr_a")
