@@ -41,6 +41,24 @@ def poisson_total(n: Column, key: Sequence[Column]) -> Column:
     return F.when(x > 0, drawn).otherwise(0.0)
 
 
+def _counted(df: DataFrame, value: str, by: Sequence[str], weight: str | None) -> DataFrame:
+    v = F.col(value).cast("double").alias("_v")
+    w = (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w")
+    return df.select(*by, v, w).where(F.col("_v").isNotNull()).groupBy(*by, "_v", "_w").agg(F.count("*").alias("_n"))
+
+
+def _ratio(c: DataFrame, by: Sequence[str], times: str, out: str, *more: Column) -> DataFrame:
+    return c.groupBy(*by).agg((F.sum(F.col("_v") * F.col(times)) / F.nullif(F.sum(F.col("_w") * F.col(times)), F.lit(0.0))).alias(out), *more)
+
+
+def _replicates(c: DataFrame, by: Sequence[str], replicates: int, seed) -> DataFrame:
+    """_r, _m: the resampled mean of every replicate."""
+    r = c.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    key = [F.lit(str(seed)), F.col("_r").cast("string"), F.col("_v").cast("string"), F.col("_w").cast("string"),
+           *[F.col(b).cast("string") for b in by]]
+    return _ratio(r.withColumn("_k", poisson_total(F.col("_n"), key)), [*by, "_r"], "_k", "_m")
+
+
 def bootstrap_ci(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None, replicates: int = 1000,
                  seed=0, level: float = 0.95) -> DataFrame:
     """M6/M7/M8: percentile interval of a mean (or of a ratio sum(value)/sum(weight)) over the rows of ``df``.
@@ -49,17 +67,9 @@ def bootstrap_ci(df: DataFrame, value: str, by: Sequence[str] = (), weight: str
     For pre-aggregated clusters pass the cluster's sum as ``value`` and its size as ``weight``.
     """
     by = list(by)
-    v = F.col(value).cast("double").alias("_v")
-    w = (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w")
-    c = df.select(*by, v, w).where(F.col("_v").isNotNull()).groupBy(*by, "_v", "_w").agg(F.count("*").alias("_n"))
-    obs = c.groupBy(*by).agg((F.sum(F.col("_v") * F.col("_n")) / F.sum(F.col("_w") * F.col("_n"))).alias("estimate"),
-                             F.sum("_n").alias("n"))
-    r = c.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    key = [F.lit(str(seed)), F.col("_r").cast("string"), F.col("_v").cast("string"), F.col("_w").cast("string"),
-           *[F.col(b).cast("string") for b in by]]
-    r = r.withColumn("_k", poisson_total(F.col("_n"), key))
-    means = r.groupBy(*by, "_r").agg((F.sum(F.col("_v") * F.col("_k"))
-                                      / F.nullif(F.sum(F.col("_w") * F.col("_k")), F.lit(0.0))).alias("_m"))
+    c = _counted(df, value, by, weight)
+    obs = _ratio(c, by, "_n", "estimate", F.sum("_n").alias("n"))
+    means = _replicates(c, by, replicates, seed)
     tail = (1.0 - level) / 2.0
     ci = means.groupBy(*by).agg(F.percentile("_m", tail).alias("low"), F.percentile("_m", 1.0 - tail).alias("high"),
                                 F.avg(flag(F.col("_m") > 0)).alias("p_positive"), F.stddev_samp("_m").alias("se"))
@@ -78,13 +88,26 @@ def clustered_bootstrap(df: DataFrame, value: str, cluster: str, by: Sequence[st
     return bootstrap_ci(per, "_sum", by, "_size", **kw)
 
 
-def two_group_difference(df: DataFrame, value: str, cluster: str, group: str, first, second, **kw) -> DataFrame:
-    """M8: difference of two independent groups, intervals joined by their standard errors."""
-    ci = clustered_bootstrap(df, value, cluster, [group], **kw)
-    at = lambda g, c: F.max(F.when(F.col(group) == g, F.col(c)))
-    d = at(first, "estimate") - at(second, "estimate")
-    se = F.sqrt(at(first, "se") * at(first, "se") + at(second, "se") * at(second, "se"))
-    return ci.agg(d.alias("difference"), (d - 1.96 * se).alias("low"), (d + 1.96 * se).alias("high"))
+def rescue_intervals(q: DataFrame, model="hit10_b", reference="hit10_a", **kw) -> DataFrame:
+    """M9: intervals of the net gain per query and of rescued over lost queries; the ratio is taken per replicate."""
+    a, b = F.col(model) == 1, F.col(reference) == 1
+    r = q.select(flag(a & ~b).alias("rescued"), flag(~a & b).alias("lost")).withColumn("net", F.col("rescued") - F.col("lost"))
+    rows = [bootstrap_ci(r, "net", **kw).withColumn("measure", F.lit("net")),
+            bootstrap_ci(r, "rescued", weight="lost", **kw).withColumn("measure", F.lit("ratio"))]
+    return rows[0].unionByName(rows[1]).select("measure", "estimate", "n", "low", "high")
+
+
+def two_group_difference(df: DataFrame, value: str, cluster: str, group: str, first, second, replicates: int = 1000, seed=0,
+                         level: float = 0.95) -> DataFrame:
+    """M8: difference of two independent groups; each replicate resamples the clusters of both."""
+    per = df.where(F.col(group).isin(first, second)).groupBy(group, cluster).agg(F.sum(value).alias("_sum"), F.count("*").alias("_size"))
+    c = _counted(per, "_sum", [group], "_size")
+    at = lambda g, x: F.max(F.when(F.col(group) == g, F.col(x)))
+    estimate = _ratio(c, [group], "_n", "_m").agg((at(first, "_m") - at(second, "_m")).alias("difference"))
+    drawn = _replicates(c, [group], replicates, seed).groupBy("_r").agg((at(first, "_m") - at(second, "_m")).alias("_d"))
+    tail = (1.0 - level) / 2.0
+    return drawn.agg(F.percentile("_d", tail).alias("low"), F.percentile("_d", 1.0 - tail).alias("high")).select(
+        estimate.scalar().alias("difference"), "low", "high")
 
 
 def sign_flip_exact(diffs: DataFrame, diff: str) -> DataFrame:
