@@ -36,7 +36,7 @@ def _prefixes(df: DataFrame, key: str, bits: str, frequency: DataFrame, threshol
     rows = df.select(key, F.size(bits).alias("size"), F.explode(bits).alias("bit")).join(frequency, "bit")
     keep = F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - 1e-9) + 1
     place = F.row_number().over(Window.partitionBy(key).orderBy("_df", "bit"))
-    return rows.withColumn("_i", place).where(F.col("_i") <= keep).select(key, "size", "bit")
+    return rows.withColumn("_i", place).where(F.col("_i") <= keep).select(key, "size", "bit", "_i")
 
 
 def tanimoto_join(a: DataFrame, b: DataFrame, threshold: float, key_a: str = "key", key_b: str = "key",
@@ -44,7 +44,7 @@ def tanimoto_join(a: DataFrame, b: DataFrame, threshold: float, key_a: str = "ke
     """V2: all pairs with |A and B| / |A or B| >= threshold, exact.
 
     Prefix filter: two sets can only reach the threshold when they share one of their rarest bits, so common bits
-    never meet in the join; a length filter and the exact count on the full sets decide. ``same`` keeps each
+    never meet in the join; length and position bounds and the exact count on the full sets decide. ``same`` keeps each
     unordered pair of one table once.
     """
     a = a.select(F.col(key_a).alias("key_a"), F.col(bits).alias("bits_a")).where(F.size("bits_a") > 0)
@@ -53,9 +53,12 @@ def tanimoto_join(a: DataFrame, b: DataFrame, threshold: float, key_a: str = "ke
     if not same:
         every = every.unionByName(b.select(F.explode("bits_b").alias("bit")))
     df = every.groupBy("bit").agg(F.count("*").alias("_df"))
-    pa = _prefixes(a, "key_a", "bits_a", df, threshold).withColumnRenamed("size", "size_a")
-    pb = _prefixes(b, "key_b", "bits_b", df, threshold).withColumnRenamed("size", "size_b")
+    pa = _prefixes(a, "key_a", "bits_a", df, threshold).withColumnsRenamed({"size": "size_a", "_i": "_ia"})
+    pb = _prefixes(b, "key_b", "bits_b", df, threshold).withColumnsRenamed({"size": "size_b", "_i": "_ib"})
     ok = (F.col("size_a") >= F.col("size_b") * threshold) & (F.col("size_b") >= F.col("size_a") * threshold)
+    # after the first shared bit no more can be shared than what is left of either set
+    left = F.least(F.col("size_a") - F.col("_ia"), F.col("size_b") - F.col("_ib")) + 1
+    ok = ok & (left * (1 + threshold) >= threshold * (F.col("size_a") + F.col("size_b")) - 1e-9)
     if same:
         ok = ok & (F.col("key_a") < F.col("key_b"))
     cand = pa.join(pb, "bit").where(ok).select("key_a", "key_b").distinct()
