@@ -8,6 +8,7 @@ the recursion. Decoding joins the ids with the vocabulary and aggregates the byt
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -28,6 +29,7 @@ LONG_WORD = 160
 
 #: White space other than space and newline; a text with any is cut by pattern.
 _ODD_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0  -     　]")
+_MARKS = frozenset(",.;:!?")
 _CUT = regex.compile(r"(?<=\S) (?=\S)")
 
 PAIRS = "SELECT w, g, tok, lead(g) OVER (ORDER BY g) AS ng, CASE WHEN lead(w) OVER (ORDER BY g) = w THEN lead(tok) OVER (ORDER BY g) END AS nt{step} FROM {t}"
@@ -91,7 +93,7 @@ class Codec:
         self._table("merges", pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "merged": pa.array(merged, pa.int32())}))
         self._table("vocabulary", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array(list(ranks), pa.binary())}))
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.pattern = regex.compile(pattern)
+        self.pattern, self.usual = regex.compile(pattern), pattern == PATTERN
         #: (ids, decoded bytes) of units at a text's start and after a space
         self.first, self.rest = (Cache(), Cache()), (Cache(), Cache())
 
@@ -125,8 +127,17 @@ class Codec:
         plain = self._arrow(DECODE)["hex"].to_pylist()
         return [tokens[i:j] for i, j in zip(ends, ends[1:])], list(map(bytes.fromhex, plain))
 
+    def _pieces(self, lead: str, unit: str) -> list[str]:
+        """The unit's pre-tokens; words, and words before one mark, need no pattern."""
+        if self.usual:
+            if unit.isalpha():
+                return [lead + unit]
+            if unit[-1:] in _MARKS and unit[:-1].isalpha():
+                return [lead + unit[:-1], unit[-1]]
+        return self.pattern.findall(lead + unit)
+
     def _learn(self, units: set[str], caches: tuple[Cache, Cache], lead: str) -> None:
-        pieces = {u: self.pattern.findall(lead + u) for u in units}
+        pieces = {u: self._pieces(lead, u) for u in units}
         new = list({p for ps in pieces.values() for p in ps})
         ids: dict[str, bytes] = {}
         plain: dict[str, bytes] = {}
@@ -171,6 +182,7 @@ def codec(spark: SparkSession, path: str, pattern: str = PATTERN, digest: bool =
 
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Codec(sent.value, pattern)
+        gc.disable()  # millions of short-lived lists, none in a cycle
         for column in parts:
             out: list = []
             waiting: list[str] = []
