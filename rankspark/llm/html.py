@@ -195,27 +195,29 @@ def features(pages: list[Page]) -> np.ndarray:
     return np.stack(columns, axis=1)
 
 
-def decode(page: Page, score: np.ndarray) -> np.ndarray:
-    """Whether each element is kept: the labelling of greatest total score without a kept element below a dropped one or a
-    dropped one below a kept one. An undecided element with own text is kept if its own score is positive."""
+def labels(page: Page, score: np.ndarray) -> list[int]:
+    """1 kept, -1 dropped, 0 undecided: the labelling of greatest total score (less MIXED for each undecided element) in which
+    everything below a kept element is kept and everything below a dropped one dropped. The root is undecided."""
     n = len(score)
     keep, drop, best = score.tolist(), (-score).tolist(), [-MIXED] * n
     for i in range(n - 1, 0, -1):
-        top = max(keep[i], drop[i], best[i])
         p = page.parent[i]
         keep[p] += keep[i]
         drop[p] += drop[i]
-        best[p] += top
-    out = [0] * n  # 1 kept, -1 dropped, 0 undecided
-    for i in range(n):
-        above = out[page.parent[i]] if i else 0
-        if above:
-            out[i] = above
-        elif i and keep[i] >= max(drop[i], best[i]):
-            out[i] = 1
-        elif i and drop[i] > best[i]:
+        best[p] += max(keep[i], drop[i], best[i])
+    out = [0] * n
+    for i in range(1, n):
+        above = out[page.parent[i]]
+        if above or keep[i] >= max(drop[i], best[i]):
+            out[i] = above or 1
+        elif drop[i] > best[i]:
             out[i] = -1
-    return np.array([x > 0 or x == 0 and s > 0 for x, s in zip(out, score, strict=True)])
+    return out
+
+
+def decode(page: Page, score: np.ndarray) -> np.ndarray:
+    """Whether each element's own text is kept; that of an undecided element is if its own score is positive."""
+    return np.array([x > 0 or x == 0 and s > 0 for x, s in zip(labels(page, score), score, strict=True)])
 
 
 def blocks(page: Page, kept: np.ndarray) -> str:
