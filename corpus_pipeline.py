@@ -20,8 +20,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that repeat the id and text of the one that stays are dropped; rows without words stay.
     """
-    found = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = minhash.near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n"))
+    kept = written(kept, "kept")
+
+    def those(ids: DataFrame) -> DataFrame:
+        return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    repeated = kept.where("n > 1")
+    if repeated.isEmpty():  # the usual case: texts need not be compared
+        return those(kept)
+    return those(kept.where("n = 1")).unionByName(those(repeated).dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,7 +60,7 @@ class Model:
             return Model((), np.zeros((BINS, 1), np.float32))
         table = np.stack([counts[x] for x in names], axis=1).astype(np.float64)
         seen = max(int((table.sum(axis=1) > 0).sum()), 2)
-        logs = np.log(table + SMOOTHING) - np.log(table.sum(axis=0) + SMOOTHING * BINS)
+        logs = np.log(table + SMOOTHING) - np.log(table.sum(axis=0) + SMOOTHING * seen)
         return Model(names, np.column_stack([logs, np.full(BINS, -np.log(seen))]).astype(np.float32))
 
 
