@@ -7,7 +7,6 @@ reaches with enough probability, or whose words no template of the predicted fam
 """
 from __future__ import annotations
 
-import json
 import math
 from collections import Counter
 from dataclasses import dataclass
@@ -41,7 +40,8 @@ TEMPLATES = {
 FAMILIES = ("none", *TEMPLATES)
 #: Ordinary paragraphs that the classifier is fitted on (those of least hash).
 SAMPLE = 1500
-ORDER, COMMON = 3, 0.01
+#: N-grams up to ORDER words are weighed if one of their words is in at most this share of ordinary paragraphs.
+ORDER, COMMON = 3, 0.0
 PROBABILITY, CONFIRMED = 0.6, 0.6
 
 
@@ -114,7 +114,8 @@ def scan(docs: DataFrame, model: Model | None = None, key: str = "doc_id", text:
     model = model or fit(docs, text)
     k = len(FAMILIES)
     gate = F.array(*[F.lit(w) for w in model.gate]) if model.gate else F.array().cast("array<string>")
-    weights = F.from_json(F.lit(json.dumps(model.weights)), "map<string, array<double>>")
+    # one value of the plan: a map built from literals would be built anew for every n-gram
+    weights = docs.sparkSession.createDataFrame([(model.weights,)], "weights map<string, array<double>>").scalar()
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     rows = rows.where(F.arrays_overlap(words(F.col("text")), gate))
     lines = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).withColumn("w", words(F.col("line")))
@@ -128,9 +129,9 @@ def scan(docs: DataFrame, model: Model | None = None, key: str = "doc_id", text:
         "probability", 1 / F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top"))))
     lines = lines.withColumn("guess", F.element_at(F.array(*[F.lit(x) for x in FAMILIES]), F.array_position("z", F.col("top")).cast("int")))
     templates = {f: [sorted({w for w in "".join(c.lower() if c.isalnum() else " " for c in t).split()}) for t in ts] for f, ts in TEMPLATES.items()}
-    known = F.from_json(F.lit(json.dumps(templates)), "map<string, array<array<string>>>")
-    lines = lines.withColumn("confirmed_by", F.array_max(F.transform(
-        F.element_at(known, F.col("guess")), lambda t: F.size(F.array_intersect(t, F.col("w"))) / F.size(t))))
+    known = docs.sparkSession.createDataFrame([(templates,)], "known map<string, array<array<string>>>").scalar()
+    lines = lines.withColumn("known", known).withColumn("confirmed_by", F.array_max(F.transform(
+        F.element_at(F.col("known"), F.col("guess")), lambda t: F.size(F.array_intersect(t, F.col("w"))) / F.size(t))))
     sure = (F.col("probability") >= PROBABILITY) & (F.col("confirmed_by") >= CONFIRMED)
     assert k == len(model.intercepts)
     return lines.where("guess <> 'none'").select(
