@@ -22,7 +22,9 @@ from rankspark.llm.words import LOWER
 BINS = 1 << 17
 SEGMENT = 8
 ROUNDS = 12
-#: Evidence, in nats, that a text is in no learned language; short odd texts never reach it and stay.
+#: A text is rejected if the background holds more than this share of its trigrams, in a mixture fitted word by word.
+BACKGROUND = 0.5
+#: Evidence for the background, in nats, that chance in a short text does not reach.
 REJECT_MARGIN = 200.0
 SMOOTHING = 0.1
 #: The model is broadcast: at most so many languages (0.5 MB each).
@@ -98,8 +100,8 @@ def learn(df: DataFrame, text: str, lang: str) -> Model:
     return Model.of(out)
 
 
-def _segments(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log likelihood of every segment under every component, and the segment offsets of each row."""
+def _segments(model: Model, data: np.ndarray, offsets: np.ndarray, size: int = SEGMENT) -> tuple[np.ndarray, np.ndarray]:
+    """Log likelihood of every segment of ``size`` words under every component, and the segment offsets of each row."""
     at, bins, starts = trigrams(data, offsets)
     if not len(at):
         return np.zeros((0, model.logs.shape[1])), np.zeros(len(offsets), np.int64)
@@ -107,7 +109,7 @@ def _segments(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.n
     word = np.cumsum(starts) - 1
     first = np.concatenate([word, [word[-1] + 1]])[rows]  # words before each row
     first_of = np.repeat(first[:-1], np.diff(rows))
-    new = starts & ((word - first_of) % SEGMENT == 0)
+    new = starts & ((word - first_of) % size == 0)
     begin = np.flatnonzero(new)
     return np.add.reduceat(model.logs[bins], begin, axis=0, dtype=np.float64), np.searchsorted(begin, rows)
 
@@ -170,6 +172,22 @@ def _select(logs: np.ndarray, rows: np.ndarray, width: int) -> np.ndarray:
     return best
 
 
+def background(model: Model, data: np.ndarray) -> tuple[float, float]:
+    """The background's share of a text's trigrams in the mixture of words, and the nats it adds to the languages' own.
+
+    Words and not segments: where languages alternate within a segment, no language explains the segment.
+    """
+    logs, rows = _segments(model, data, np.array([0, len(data)]), 1)
+    if not len(logs):
+        return 0.0, 0.0
+    every = np.ones((1, logs.shape[1]))
+    share, like = mixture(logs, rows, every)
+    every[0, -1] = 0
+    _, without = mixture(logs, rows, every)
+    joint = np.exp(logs - logs.max(axis=1, keepdims=True)) * share
+    n = logs[:, -1]  # as the number of trigrams: all have the same probability
+    return float((joint[:, -1] / joint.sum(axis=1)) @ n / n.sum()), float(like[0] - without[0])
+
 
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
                        T.StructField("languages", T.ArrayType(T.StringType())),
@@ -187,6 +205,10 @@ def predictor(model: Model):
     names = model.languages
     sent: list = []
 
+    def far(model: Model, data: np.ndarray) -> bool:
+        share, nats = background(model, data)
+        return share > BACKGROUND and nats > REJECT_MARGIN
+
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = sent[0].value
         for column in parts:
@@ -211,7 +233,7 @@ def predictor(model: Model):
                     continue
                 kept = [(names[j], float(known[i, j])) for j in np.argsort(-known[i], kind="stable") if known[i, j] > 0.01]
                 out.append((names[top[i]], float(min(known[i, top[i]], 1.0)), [x for x, _ in kept], [x for _, x in kept],
-                            bool(like[i, -1] > like[i, :-1].max() + REJECT_MARGIN)))
+                            bool(like[i, -1] > like[i, :-1].max()) and far(model, data[offsets[i]:offsets[i + 1]])))
             yield pa.array([dict(zip(RESULT.names, x, strict=True)) for x in out],
                            pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.list_(pa.string())),
                                       ("proportions", pa.list_(pa.float64())), ("rejected", pa.bool_())]))

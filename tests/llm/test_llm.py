@@ -133,6 +133,25 @@ def test_language(spark, odd, empty):
     assert nothing.lang_pred == "und"
 
 
+def test_texts_in_several_languages_are_not_rejected(spark):
+    r = random.Random(9)
+    sounds = {"aa": ("kmtpn", "aiou"), "bb": ("strgw", "eyu"), "cc": ("lfvdj", "oai"), "dd": ("bhzxq", "ueo")}
+    words = {x: ["".join(r.choice(part) for _ in range(r.randrange(2, 5)) for part in parts) for _ in range(400)] for x, parts in sounds.items()}
+
+    def text(x, n):
+        return " ".join(r.choices(words[x], k=n))
+    rows = [(i, text(x, 60), x) for i in range(400) for x in [r.choice("abcd") * 2]]
+    mixes = [(n, k, " ".join(text(x, n) for x in list(words)[:k])) for n in (20, 150, 500, 3000) for k in (2, 3, 4)]
+    mixes += [(n, k, " ".join(r.choice(words[x]) for _ in range(n) for x in list(words)[:k])) for n in (150, 3000) for k in (2, 4)]
+    rows += [(1000 + i, t, None) for i, (_, _, t) in enumerate(mixes)]
+    junk = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(500))
+    rows += [(2000, junk, None), (2001, junk + " " + text("aa", 100), None), (2002, text("aa", 2000) + " " + junk, None)]
+    got = {x.doc_id: x for x in langid.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [x for i, x in enumerate(mixes) if got[1000 + i].rejected] == []
+    assert (got[2000].rejected, got[2001].rejected, got[2002].rejected) == (True, True, False)
+    assert not any(got[i].rejected for i in range(400))
+
+
 @pytest.fixture(scope="module")
 def known():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
