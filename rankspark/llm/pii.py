@@ -77,15 +77,17 @@ def base(text: str) -> list[Span]:
 
 
 _SPELT = re.compile(r"[A-Za-z0-9._%+-]+\s?(?:@|[(\[]at[)\]]|\sat\s)\s?[A-Za-z0-9-]+(?:\s?(?:\.|[(\[]dot[)\]]|\sdot\s)\s?[A-Za-z0-9-]+)+")
+#: What every match of _SPELT holds: the at sign or word, a label, a dot or its word, and the begin of a label.
+_CUE = re.compile(r"(?:@|[(\[]at[)\]]|\sat\s)\s?[A-Za-z0-9-]+?\s?(?:\.|[(\[]dot[)\]]|\sdot\s)\s?[A-Za-z0-9-]")
 _NUMBERS = re.compile(r"[0-9]+(?:\s?\.\s?[0-9]+){3}")
 _DIALLED = re.compile(r"[+(]?[0-9][\x20().0-9/-]+[0-9]")
 _GROUPED = re.compile(r"[0-9]+(?:[\x20._/-]{1,2}[0-9]+)+")
 
 
 def plausible(kind: str, text: str) -> bool:
-    """Whether an added span can be of its kind at all. Every kind needs a digit or an at sign."""
+    """Whether an added span can be of its kind at all. E-mail addresses need a cue of _CUE, the other kinds a digit."""
     if kind == "email":
-        return bool(_SPELT.fullmatch(text) and _SOME.search(text))
+        return bool(_SPELT.fullmatch(text))
     d = _digits(text)
     if kind == "ip":
         return bool(_NUMBERS.fullmatch(text)) and all(len(x) <= 3 and int(x) <= 255 for x in re.findall("[0-9]+", text))
@@ -97,8 +99,10 @@ def plausible(kind: str, text: str) -> bool:
 def respelt(kind: str, text: str, turn: int) -> str:
     """A spelling of a span that the base patterns miss."""
     if kind == "email":
-        at, dot = ((" (at) ", "."), (" [at] ", " [dot] "), (" at ", " dot "))[turn % 3]
+        at, dot = ((" (at) ", "."), (" [at] ", " [dot] "), (" at ", " dot "), (" (at) ", " (dot) "))[turn % 4]
         local, _, domain = text.partition("@")
+        if turn // 4 % 2:  # every second cycle of spellings has no digit
+            local, domain = (re.sub("[0-9]+", "", x).strip(".-") or x for x in (local, domain))
         return local + at + domain.replace(".", dot)
     if kind == "ip":
         return text.replace(".", " . " if turn % 2 else ". ")
@@ -111,6 +115,7 @@ def respelt(kind: str, text: str, turn: int) -> str:
 def examples(snippets: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Windows and tags from labelled snippets: as they are, and with their spans respelt."""
     windows, tags = [], []
+    turns = dict.fromkeys(KINDS, 0)  # each kind goes through its own spellings
     for turn, text in enumerate(snippets):
         spans = sorted(base(text), key=lambda s: (s[1], -s[2]))
         for new in (False, True):
@@ -118,7 +123,8 @@ def examples(snippets: list[str]) -> tuple[np.ndarray, np.ndarray]:
             for kind, a, b, _ in spans:
                 if a < at:
                     continue
-                word = respelt(kind, text[a:b], turn) if new else text[a:b]
+                word = respelt(kind, text[a:b], turns[kind]) if new else text[a:b]
+                turns[kind] += new
                 parts += [text[at:a], word]
                 marks += [np.zeros(a - at, np.int64), np.full(len(word), KINDS.index(kind) + 1)]
                 at = b
@@ -149,13 +155,16 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Tagger | N
 def added(model: Tagger, texts: list[str], found: list[list[Span]]) -> list[list[Span]]:
     """Spans that the tagger adds to the base spans of each text.
 
-    Only windows with a digit or at sign are decoded: in the others no span could be accepted, and they are tagged 0.
+    Only windows with a digit or at sign, or within a window's width of a spelt-out address's cue, are decoded: runs of tags
+    grow by that width at most, so in the others no span could be accepted, and they are tagged 0.
     """
     at: list[tuple[int, int]] = []
     codes = {}
     for i, text in enumerate(texts):
         hits = {k for m in _SOME.finditer(text) for p in (m.start(),)
                 for k in (p // STEP, p // STEP - 1) if k >= 0 and p < k * STEP + WIDTH}
+        for m in _CUE.finditer(text) if "at" in text or "@" in text else ():
+            hits.update(range(max(0, (m.start() - WIDTH) // STEP), min(len(text) - 1, m.end() + WIDTH) // STEP + 1))
         if hits:
             codes[i] = _codes(text)
             at += [(i, k) for k in sorted(hits)]

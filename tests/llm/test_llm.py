@@ -237,6 +237,18 @@ def test_tagger_learns_held_out_spellings(personal):
     assert pii.find(model, [long, "", "no data 2024 here"]) == [[], [], []]
 
 
+def test_addresses_without_a_digit_are_found(personal):
+    model = tagger.train(*pii.examples(personal[:320]), len(pii.KINDS) + 1)
+    prose = " ".join(["the of and"] * 40)
+    for address in ("jane.doe (at) example (dot) com", "jane at example dot com", "jane.doe [at] mail.example [dot] com", "as.the (at) example.com"):
+        for shift in range(0, 120, 17):
+            text = f"{prose} {'of ' * (shift // 3)}{address} {prose}"
+            found = pii.find(model, [text])[0]
+            assert [(k, text[a:b], own) for k, a, b, own in found] == [("email", address, False)], (address, shift, [text[a:b] for _, a, b, _ in found])
+    plain = f"{prose} it is at noon. Then the of {prose} look at as. Of the {prose}"
+    assert pii.find(model, [plain]) == [[]]
+
+
 def test_gradient_is_that_of_the_loss():
     model = tagger.Tagger.new(3, 4, 1)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
