@@ -1,12 +1,14 @@
 """Personal data in whole texts: base patterns, and spans that a character-level tagger adds.
 
 The tagger learns from labelled spans (the base spans of a bounded sample, some rewritten into spellings that the patterns
-do not know). At run time overlapping windows are decoded, each character takes the tag of the window in whose middle it
+do not know) and on snippets without any. At run time overlapping windows are decoded, each character takes the tag of the window in whose middle it
 lies, tags of all windows are joined into spans over the whole text, and spans that meet a base span or cannot be of their
 kind are dropped.
 """
 from __future__ import annotations
 
+import hashlib
+import random
 import re
 from collections.abc import Iterator
 
@@ -15,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankspark.llm.common import written
 from rankspark.llm.tagger import PAD, Tagger, classes, train
 
 KINDS = ("email", "ip", "card", "phone")
@@ -142,14 +145,80 @@ def _codes(text: str) -> np.ndarray:
     return classes(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
 
 
+#: Every base or added span holds one of these.
+_TRIGGER = re.compile(r"[0-9@+]|[(\[]at[)\]]|\sat\s")
+_WORDED = re.compile(r"@|[(\[](?:at|dot)[)\]]|\sdot\s")
+
+
+def _spelt(text: str) -> bool:
+    """Whether a text without base spans may hold a span in another spelling, and is no safe example of none."""
+    return bool(_WORDED.search(text)) or any(plausible(kind, m.group()) for kind, p in (("ip", _NUMBERS), ("card", _GROUPED), ("phone", _DIALLED))
+                                             for m in p.finditer(text))
+
+
+def snippets(text: str) -> Iterator[tuple[str, str]]:
+    """(kind, snippet) around every base span, and around triggers away from all spans: "none", or "open" if it may hold
+    a span in another spelling."""
+    spans = sorted(base(text), key=lambda s: s[1:3])
+    for kind, a, _, _ in spans:
+        yield kind, text[max(0, a - 60):a + 120]
+    after = i = 0
+    for m in _TRIGGER.finditer(text):
+        if m.start() < after:
+            continue
+        lo, hi = max(0, m.start() - 60), m.start() + 120
+        while i < len(spans) and spans[i][2] <= lo:
+            i += 1
+        if i < len(spans) and spans[i][1] < hi:
+            continue
+        after = hi
+        yield "open" if _spelt(text[lo:hi]) else "none", text[lo:hi]
+
+
+def made_up(kind: str, turn: int) -> str:
+    """An invented value that the base patterns know."""
+    r = random.Random(turn)
+    if kind == "email":
+        w = ["".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(r.randrange(2, 4))) + r.choice(["", "n", "s"]) for _ in range(3)]
+        return f"{w[0]}{r.choice(['', '.' + w[1], str(r.randrange(99))])}@{w[2]}.{r.choice(['com', 'org', 'net', 'example.com', 'co.uk'])}"
+    if kind == "ip":
+        return ".".join(str(r.randrange(256)) for _ in range(4))
+    if kind == "card":
+        d = "".join(str(r.randrange(10)) for _ in range(15))
+        return next(d + k for k in "0123456789" if luhn(d + k))
+    return f"+{r.randrange(1, 99)} ({r.randrange(100, 999)}) {r.randrange(100, 999)}-{r.randrange(1000, 9999)}"
+
+
 def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Tagger | None:
-    """A tagger trained on snippets around the first digit or sign of ``sample`` documents (those of least hash), or None
-    if there is none. The sample bounds the labelled rows; it does not bound what is searched."""
-    at = F.regexp_instr(F.col(f"`{text}`"), F.lit("[0-9@+]"))
-    snippet = F.substring(F.col(f"`{text}`"), F.greatest(at - 60, F.lit(1)), F.lit(180))
-    rows = (docs.where(at > 0).select(snippet.alias("s")).distinct().orderBy(F.xxhash64("s"), "s").limit(sample).collect())
-    snippets = [r.s for r in rows if base(r.s)]  # labelled by their base spans
-    return train(*examples(snippets), len(KINDS) + 1) if snippets else None
+    """A tagger trained on at most ``sample`` snippets: for each kind those of least hash around its base spans, wherever they
+    are in any document, and as many without a span. A kind with few is filled up with invented values in such snippets. None
+    only if no text holds anything that a span needs. The sample bounds what is learned from, not what is searched."""
+    most = sample // (len(KINDS) + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, dict[str, int]] = {}
+        for batch in batches:
+            for x in batch.column(0):
+                for kind, s in snippets(x.as_py() or ""):
+                    own = kept.setdefault(kind, {})
+                    own[s] = int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "big")
+                    if len(own) >= 4 * most:
+                        kept[kind] = dict(sorted(own.items(), key=lambda v: (v[1], v[0]))[:most])
+        rows = [(kind, h, s) for kind, own in kept.items() for s, h in sorted(own.items(), key=lambda v: (v[1], v[0]))[:most]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))],
+                                         names=["kind", "h", "s"])
+    least = written(docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(run, "kind string, h long, s string"), "snippets")
+    got = {k: [r.s for r in least.where(F.col("kind") == k).distinct().orderBy("h", "s").limit(most).collect()] for k in (*KINDS, "none", "open")}
+    if not any(got.values()):
+        return None
+    plain = got["none"] or ["the text of a page that holds no number and no address, and goes on like this for some more words"]
+    chosen = got["none"][:]
+    for kind in KINDS:
+        chosen += got[kind]
+        for turn in range(max(0, most // 2 - len(got[kind]))):
+            w = plain[turn % len(plain)].split(" ")
+            chosen.append(" ".join([*w[:len(w) // 3], made_up(kind, turn), *w[len(w) // 3:]]))
+    return train(*examples(chosen), len(KINDS) + 1)
 
 
 def added(model: Tagger, texts: list[str], found: list[list[Span]]) -> list[list[Span]]:
@@ -188,6 +257,8 @@ def added(model: Tagger, texts: list[str], found: list[list[Span]]) -> list[list
             tags[lo:hi] = path[lo - k * STEP:hi - k * STEP]
         taken = sorted((a, b) for _, a, b, _ in found[i])
         for kind, a, b in _whole(text, tags):
+            if kind == "email" and (m := _SPELT.search(text, a, b)):  # without tagged words around the address
+                a, b = m.span()
             if not any(x < b and a < y for x, y in taken) and plausible(kind, text[a:b]):
                 out[i].append((kind, a, b, False))
     return out

@@ -249,6 +249,18 @@ def test_addresses_without_a_digit_are_found(personal):
     assert pii.find(model, [plain]) == [[]]
 
 
+def test_training_snippets_are_labelled_ones(spark, personal):
+    """The first digit of every text is a year; personal data comes later, or only in other spellings."""
+    lead = "In 2024 " + "the of and " * 30
+    hidden = lead + "write to and.77 (at) mail3.example.com " + "the of and " * 30
+    for rows in ([lead + x for x in personal[:200]], [lead]):
+        df = docs(spark, list(enumerate([*rows, hidden])))
+        found = {r.doc_id: [hidden[s.start:s.end] for s in r.found if not s.base] for r in pii.personal_data(df).collect()}
+        assert found[len(rows)] == ["and.77 (at) mail3.example.com"]
+    assert pii.fit(docs(spark, [(1, "nothing to find"), (2, None)])) is None
+    assert [k for k, _ in pii.snippets(lead + personal[0])] == ["email", "none"]
+
+
 def test_gradient_is_that_of_the_loss():
     model = tagger.Tagger.new(3, 4, 1)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
