@@ -29,6 +29,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Content that is never text of a page.
 RAW = frozenset("script style noscript template iframe svg math textarea select option button title object canvas audio video head".split())
 _UNPARSED = frozenset("script style textarea title iframe".split())
+#: Elements that a head may hold: any other closes an open head.
+_IN_HEAD = frozenset("base basefont bgsound link meta title script style noscript noframes template object head html".split())
 #: What an element with both kept and dropped parts costs.
 MIXED = 1.0
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer
@@ -83,6 +85,8 @@ def parse(html: str) -> Page:
 
     def text(piece: str) -> None:
         nonlocal fresh
+        if stack[-1][0] == "head" and piece.strip():
+            close(len(stack) - 1)
         if not raw and piece:
             if "&" in piece:
                 piece = unescape(piece)
@@ -120,6 +124,10 @@ def parse(html: str) -> Page:
                 text(m[0][9:-3])
             continue
         name = name.lower()
+        if name not in _IN_HEAD and stack[-1][0] in ("head", "noscript"):
+            head = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == "head"), 0)
+            if head and (stack[-1][0] == "head" or name == "body"):
+                close(head)
         if name in BLOCKS:
             fresh = True
             if any(x == "p" for x, _ in stack[-4:]) and name not in ("html", "body"):

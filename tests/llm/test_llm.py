@@ -371,6 +371,17 @@ def test_main_text_on_held_out_layouts(spark):
     assert out[None].n_chars == len(out[None].text) and len(out) == 6
 
 
+def test_head_ends_without_its_end_tag():
+    def shown(page):
+        return "".join(x for _, x, _ in html.parse(page).runs).strip()
+    for end in ("</head>", ""):
+        for body in ("<body>", ""):
+            page = f"<html><head><meta charset=u><title>t</title><style>a</style><script>b</script>{end}{body}<article><p>one<p>two</article>"
+            assert shown(page) == "onetwo", page
+    assert shown("<head><noscript><img src=x></noscript><title>t</title><p>one") == "one"
+    assert shown("<head><title>t</title>one<p>two") == "onetwo"
+
+
 def test_decoding_is_the_best_labelling_without_contradictions():
     page = html.parse("<div><p>a</p><p>b</p><aside><p>c</p></aside></div>")
     n = len(page.parent)
