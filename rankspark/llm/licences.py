@@ -1,7 +1,7 @@
 """Licence paragraphs by a trained classifier on word n-grams, in plain DataFrame expressions.
 
 A multinomial logistic regression with an L1 penalty is fitted on licence notices and on ordinary paragraphs; its few
-weighted n-grams become a constant map. Only paragraphs with the rarest word of a weighted n-gram can differ from the class
+weighted n-grams become a constant map. Only paragraphs with the rarest word of an n-gram that speaks for a family can differ from the class
 "none", so others are passed over without loss. Probabilities are calibrated by one temperature; a paragraph that no family
 reaches with enough probability, or whose words no template of the predicted family confirms, is "unknown".
 """
@@ -40,8 +40,8 @@ TEMPLATES = {
 FAMILIES = ("none", *TEMPLATES)
 #: Ordinary paragraphs that the classifier is fitted on (those of least hash).
 SAMPLE = 1500
-#: N-grams up to ORDER words are weighed if one of their words is in at most this share of ordinary paragraphs.
-ORDER, COMMON = 3, 0.0
+#: N-grams of a notice up to ORDER words are weighed.
+ORDER = 3
 PROBABILITY, CONFIRMED = 0.6, 0.6
 
 
@@ -59,7 +59,7 @@ def grams(w: Column) -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    #: n-gram -> one weight per family; their rarest words; intercepts and temperature
+    #: n-gram -> one weight per family; the rarest word of each that speaks for a family; intercepts and temperature
     weights: dict[str, list[float]]
     gate: tuple[str, ...]
     intercepts: tuple[float, ...]
@@ -72,20 +72,40 @@ def _variants(text: str) -> list[str]:
     return [text, " ".join(w[:max(3, len(w) * 3 // 4)]), f"Copyright 2021 The Authors. {text}", f"Note: {text} See the file for details.", text.upper()]
 
 
+def _words(text: str) -> set[str]:
+    return {w for w in "".join(c.lower() if c.isalnum() else " " for c in text).split()}
+
+
+_NOTICES = [_words(t) for ts in TEMPLATES.values() for t in ts]
+
+
+def _close(line: str) -> bool:
+    """Whether a line shares most words of a notice, or three and most of its own words with one: no ordinary paragraph."""
+    w = _words(line)
+    return any(len(w & t) >= CONFIRMED * len(t) or len(w & t) >= max(3, CONFIRMED * len(w)) for t in _NOTICES)
+
+
 def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
-    """Fits on the notices and on at most ``sample`` paragraphs of the documents without a legal word. Deterministic."""
+    """Fits on the notices and on at most ``sample`` paragraphs of the documents without a legal word and not close to a notice.
+    Deterministic."""
     spark = docs.sparkSession
     line = docs.select(F.explode(F.split(F.col(f"`{text}`"), "\n")).alias("line")).where(
         "trim(line) <> '' and not lower(line) rlike 'licen[cs]|copyright|rights reserved|permission|public domain'")
-    ordinary = line.distinct().orderBy(F.xxhash64("line"), "line").limit(sample)
+    ordered, most, got = line.distinct().orderBy(F.xxhash64("line"), "line"), 2 * sample, []
+    while True:
+        drawn = [r.line for r in ordered.limit(most).collect()]
+        got = [x for x in drawn if not _close(x)][:sample]
+        if len(got) == sample or len(drawn) < most:
+            break
+        most *= 4
+    ordinary = spark.createDataFrame([(x,) for x in got], "line string")
     rows = [(float(FAMILIES.index(k)), v, i) for k, ts in TEMPLATES.items() for t in ts for i, v in enumerate(_variants(t))]
     made = spark.createDataFrame(rows, "label double, line string, turn int")
     rest = ordinary.select(F.lit(0.0).alias("label"), "line", F.pmod(F.xxhash64("line"), F.lit(5)).cast("int").alias("turn"))
     data = made.unionByName(rest).select("label", "turn", grams(words(F.col("line"))).alias("grams")).collect()  # bounded by the sample
     seen = Counter(g for r in data if not r.label for g in set(r.grams))
-    most = COMMON * max(1, sum(not r.label for r in data))
-    rare = {g for r in data if r.label for g in r.grams if min(seen[w] for w in g.split(" ")) <= most}
-    frame = spark.createDataFrame([(r.label, r.turn, [g for g in r.grams if g in rare]) for r in data], "label double, turn int, grams array<string>").coalesce(1).cache()
+    legal = {g for r in data if r.label for g in r.grams}
+    frame = spark.createDataFrame([(r.label, r.turn, [g for g in r.grams if g in legal]) for r in data], "label double, turn int, grams array<string>").coalesce(1).cache()
     counted = CountVectorizer(inputCol="grams", outputCol="x", binary=True, minDF=2.0).fit(frame)
     model = LogisticRegression(featuresCol="x", family="multinomial", elasticNetParam=1.0, regParam=2e-4, maxIter=60).fit(counted.transform(frame).select("label", "x"))
     frame.unpersist()
@@ -101,7 +121,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
             total += math.log(sum(math.exp(v - max(z)) for v in z)) + max(z) - z[int(r.label)]
         return total
     best = min((0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=loss)
-    return Model(weights, tuple(sorted({min(g.split(" "), key=lambda w: (seen[w], w)) for g in weights})), intercepts, best)
+    return Model(weights, tuple(sorted({min(g.split(" "), key=lambda w: (seen[w], w)) for g, v in weights.items() if max(v) > v[0]})), intercepts, best)
 
 
 def scan(docs: DataFrame, model: Model | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -128,7 +148,7 @@ def scan(docs: DataFrame, model: Model | None = None, key: str = "doc_id", text:
     lines = lines.withColumn("top", F.array_max("z")).withColumn(
         "probability", 1 / F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top"))))
     lines = lines.withColumn("guess", F.element_at(F.array(*[F.lit(x) for x in FAMILIES]), F.array_position("z", F.col("top")).cast("int")))
-    templates = {f: [sorted({w for w in "".join(c.lower() if c.isalnum() else " " for c in t).split()}) for t in ts] for f, ts in TEMPLATES.items()}
+    templates = {f: [sorted(_words(t)) for t in ts] for f, ts in TEMPLATES.items()}
     known = docs.sparkSession.createDataFrame([(templates,)], "known map<string, array<array<string>>>").scalar()
     lines = lines.withColumn("known", known).withColumn("confirmed_by", F.array_max(F.transform(
         F.element_at(F.col("known"), F.col("guess")), lambda t: F.size(F.array_intersect(t, F.col("w"))) / F.size(t))))

@@ -418,6 +418,15 @@ def test_licences(spark, empty):
     assert licences.scan(empty).count() == 0
 
 
+def test_notices_in_the_ordinary_sample_are_not_lost(spark):
+    """Notices without a word of the legal filter, and ordinary lines with their words, meet the sample."""
+    notices = {"GPL": licences.TEMPLATES["GPL"][2], "BSD": licences.TEMPLATES["BSD"][2]}
+    rows = [(i, f"Moro kata {i} tasa pilu nemi.\nThe software is in binary and source form {i} for redistribution, gpl tasa") for i in range(60)]
+    rows += [(100 + i, t) for i, t in enumerate(notices.values())]
+    got = {(r.doc_id, r.family) for r in licences.scan(docs(spark, rows)).collect()}
+    assert {x for x in got if x[1] != "unknown"} == {(100, "GPL"), (101, "BSD")}
+
+
 @pytest.mark.parametrize("n", [0, 3, 300])
 def test_top_k_equals_brute_force(spark, n):
     r = np.random.default_rng(n)
