@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankspark.llm import bpe, decontaminate, html, langid, licences, minhash, pii, topk, urls, warc
+from rankspark.llm import bpe, conversations, decontaminate, html, langid, licences, minhash, pii, topk, urls, warc
 from rankspark.llm.common import table
 
 UPPER, LOWER = urls.UPPER, urls.LOWER
@@ -93,6 +93,49 @@ f AS (SELECT page_id, host, path, arg_max(h||q, length(h||q)) AS rule, arg_max(s
 l AS (SELECT *, list_has_any(list_transform(range(1, 1+len(string_split(host,'.'))), lambda i: array_to_string(string_split(host,'.')[i:], '.')), {BLOCKED}) AS listed FROM f)
 SELECT page_id, host, path, rule, coalesce(says, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed FROM l"""
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256 of the damaged conversations."""
+    return conversations.repair(table(spark, sf_dir, "conversations"), damage=True)
+
+
+def _op11_sql() -> str:
+    """The forward pass as a recursion over turns; a state is the least {cost, audit, repaired lines} that reaches it."""
+    def edit(state: str, cost: str, initial: str, line: str | None) -> str:
+        lines = f"list_append({state}.l, {line})" if line else f"{state}.l"
+        return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{initial}', 'l': {lines}}} END"
+
+    def to(states: str, role: str) -> str:
+        kept = [f"CASE WHEN free AND role[1] = '{role[0]}' THEN {edit(f's{i}', 'extra', 'K', 'said')} END" for i in states]
+        given = [f"CASE WHEN free THEN {edit(f's{i}', '3 + extra', 'R', f"'{role}:' || text")} END" for i in states]
+        return ", ".join(kept + given * (role != "system"))
+    inserted = f"""SELECT conv_id, i, s0, s1, s2, least(s3, {edit('s2', '3', 'I', "'assistant:'")}) AS s3 FROM (
+ SELECT conv_id, i, s0, s1, s3, least(s2, {', '.join(edit(f's{i}', '3', 'I', "'user:'") for i in (0, 1, 3))}) AS s2 FROM """
+    crc = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda c: ord(c)::BIGINT)), lambda x, c: xor(x >> 8,
+ list_reduce(list_prepend(xor(x, c) & 255, range(8)), lambda y, _: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::BIGINT) ELSE y >> 1 END)))"""
+    return rf"""WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+h AS (SELECT *, xor({crc}, 4294967295::BIGINT) % 20 AS h FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE WHEN h = 1 THEN '' WHEN h = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+ WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' END AS fault, lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM n),
+e AS (SELECT conv_id, i, role, text, role || ':' || text AS said, fault IS NULL OR fault = 'truncated' AS free, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS extra FROM f),
+start AS (SELECT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 'l': []::VARCHAR[]}} AS s0, NULL::STRUCT(c INTEGER, a VARCHAR, l VARCHAR[]) AS s1, NULL::STRUCT(c INTEGER, a VARCHAR, l VARCHAR[]) AS s2, NULL::STRUCT(c INTEGER, a VARCHAR, l VARCHAR[]) AS s3 FROM conversations GROUP BY conv_id),
+r AS ({inserted} start)
+ UNION ALL
+ {inserted} (
+ SELECT e.conv_id, e.i, {edit('s0', '4', 'D', None)} AS s0, least({edit('s1', '4', 'D', None)}, {to('0', 'system')}) AS s1,
+ least({edit('s2', '4', 'D', None)}, {to('013', 'user')}) AS s2, least({edit('s3', '4', 'D', None)}, {to('2', 'assistant')}) AS s3
+ FROM r JOIN e ON e.conv_id IS NOT DISTINCT FROM r.conv_id AND e.i = r.i + 1))),
+best AS (SELECT conv_id, arg_max(least(s0, s3), i) AS b FROM r GROUP BY conv_id),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count_if(fault = 'blank')::BIGINT AS blank, count_if(fault = 'duplicate')::BIGINT AS duplicate,
+ count_if(fault = 'truncated')::BIGINT AS truncated, count_if(before IS NOT NULL AND before[1] || role[1] NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal FROM f GROUP BY conv_id)
+SELECT best.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+ b.c::BIGINT AS cost, b.a AS audit, sha256(array_to_string(b.l, chr(10))) AS repaired_sha256
+FROM best LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM best.conv_id"""
+
+
+OP11_SQL = _op11_sql()
+
 QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_pii": op2_pii, "op3_decontaminate": op3_decontaminate, "op4_warc": op4_warc, "op5_main_text": op5_main_text, "op6_licences": op6_licences, "op7_byte_bpe": op7_byte_bpe, "op8_top_k": op8_top_k, "op9_url_filter": op9_url_filter,
-           "op10_language_id": op10_language_id}
-ORACLES = {"op1_minhash_dedup": OP1_SQL, "op8_top_k": OP8_SQL, "op9_url_filter": OP9_SQL}
+           "op10_language_id": op10_language_id, "op11_repair": op11_repair}
+ORACLES = {"op1_minhash_dedup": OP1_SQL, "op8_top_k": OP8_SQL, "op9_url_filter": OP9_SQL, "op11_repair": OP11_SQL}
