@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankspark.llm import bpe, conversations, decontaminate, html, langid, licences, minhash, pii, topk, urls, warc
+from rankspark.llm import bpe, conversations, decontaminate, html, langid, licences, minhash, periods, pii, topk, urls, warc
 from rankspark.llm.common import table
 
 UPPER, LOWER = urls.UPPER, urls.LOWER
@@ -98,6 +98,12 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(table(spark, sf_dir, "conversations"), damage=True)
 
 
+def _crc32(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII string, bit by bit."""
+    return f"""xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda c: ord(c)::BIGINT)), lambda x, c: xor(x >> 8,
+ list_reduce(list_prepend(xor(x, c) & 255, range(8)), lambda y, _: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::BIGINT) ELSE y >> 1 END))))"""
+
+
 def _op11_sql() -> str:
     """The forward pass as a recursion over turns; a state is the least {cost, audit, repaired lines} that reaches it."""
     def edit(state: str, cost: str, initial: str, line: str | None) -> str:
@@ -110,10 +116,8 @@ def _op11_sql() -> str:
         return ", ".join(kept + given * (role != "system"))
     inserted = f"""SELECT conv_id, i, s0, s1, s2, least(s3, {edit('s2', '3', 'I', "'assistant:'")}) AS s3 FROM (
  SELECT conv_id, i, s0, s1, s3, least(s2, {', '.join(edit(f's{i}', '3', 'I', "'user:'") for i in (0, 1, 3))}) AS s2 FROM """
-    crc = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda c: ord(c)::BIGINT)), lambda x, c: xor(x >> 8,
- list_reduce(list_prepend(xor(x, c) & 255, range(8)), lambda y, _: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::BIGINT) ELSE y >> 1 END)))"""
     return rf"""WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
-h AS (SELECT *, xor({crc}, 4294967295::BIGINT) % 20 AS h FROM k),
+h AS (SELECT *, {_crc32('key')} % 20 AS h FROM k),
 d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE WHEN h = 1 THEN '' WHEN h = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h),
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
 f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
@@ -136,6 +140,24 @@ FROM best LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM best.conv_id"""
 
 OP11_SQL = _op11_sql()
 
+
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_runs, start, length, period, exponent_milli, runs_sha256, collapsed_sha256 of the partly periodic documents."""
+    return periods.periodic(table(spark, sf_dir, "documents"), plant=True)
+
+
+OP13_SQL = rf"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, len(w) AS n, {_crc32('doc_id::VARCHAR')} AS h, h // 10 AS g FROM documents),
+e AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a, 1 + (n - a) // (3 + g % 8) AS p FROM d),
+t AS (SELECT doc_id, n, i, w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END] AS w FROM (SELECT *, unnest(range(n)) AS i FROM e)),
+m AS (SELECT x.doc_id, x.i, y.i - x.i AS p FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND y.i - x.i <= x.n // 4),
+s AS (SELECT doc_id, p, min(i) AS start, count(*) + p AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS island FROM m) GROUP BY doc_id, p, island HAVING count(*) >= greatest(3 * p, 6 - p)),
+r AS (SELECT doc_id, start, length, min(p) AS period FROM s GROUP BY ALL),
+c AS (SELECT doc_id, count(*) AS n_runs, first({{'s': start, 'l': length, 'p': period}} ORDER BY length::DOUBLE / period DESC, start, period) AS best,
+ string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM r GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS kept FROM t WHERE NOT EXISTS (FROM r WHERE r.doc_id = t.doc_id AND i >= start + period AND i < start + length) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.l::BIGINT AS length, best.p::BIGINT AS period, (1000 * best.l // best.p)::BIGINT AS exponent_milli,
+ sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
 QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_pii": op2_pii, "op3_decontaminate": op3_decontaminate, "op4_warc": op4_warc, "op5_main_text": op5_main_text, "op6_licences": op6_licences, "op7_byte_bpe": op7_byte_bpe, "op8_top_k": op8_top_k, "op9_url_filter": op9_url_filter,
-           "op10_language_id": op10_language_id, "op11_repair": op11_repair}
-ORACLES = {"op1_minhash_dedup": OP1_SQL, "op8_top_k": OP8_SQL, "op9_url_filter": OP9_SQL, "op11_repair": OP11_SQL}
+           "op10_language_id": op10_language_id, "op11_repair": op11_repair, "op13_periods": op13_periods}
+ORACLES = {"op1_minhash_dedup": OP1_SQL, "op8_top_k": OP8_SQL, "op9_url_filter": OP9_SQL, "op11_repair": OP11_SQL, "op13_periods": OP13_SQL}
