@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankspark.llm import bpe, conversations, decontaminate, html, langid, licences, minhash, periods, pii, topk, urls, warc
+from rankspark.llm import bpe, conversations, decontaminate, exact, html, langid, licences, minhash, periods, pii, topk, urls, warc
 from rankspark.llm.common import table
 
 UPPER, LOWER = urls.UPPER, urls.LOWER
@@ -141,6 +141,15 @@ FROM best LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM best.conv_id"""
 OP11_SQL = _op11_sql()
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every document."""
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, row_number() OVER (g ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
+ sha256(coalesce(text, '')) AS text_sha256 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))"""
+
+
 def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_runs, start, length, period, exponent_milli, runs_sha256, collapsed_sha256 of the partly periodic documents."""
     return periods.periodic(table(spark, sf_dir, "documents"), plant=True)
@@ -159,5 +168,5 @@ SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, b
  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)"""
 
 QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_pii": op2_pii, "op3_decontaminate": op3_decontaminate, "op4_warc": op4_warc, "op5_main_text": op5_main_text, "op6_licences": op6_licences, "op7_byte_bpe": op7_byte_bpe, "op8_top_k": op8_top_k, "op9_url_filter": op9_url_filter,
-           "op10_language_id": op10_language_id, "op11_repair": op11_repair, "op13_periods": op13_periods}
-ORACLES = {"op1_minhash_dedup": OP1_SQL, "op8_top_k": OP8_SQL, "op9_url_filter": OP9_SQL, "op11_repair": OP11_SQL, "op13_periods": OP13_SQL}
+           "op10_language_id": op10_language_id, "op11_repair": op11_repair, "op12_exact_dedup": op12_exact_dedup, "op13_periods": op13_periods}
+ORACLES = {"op1_minhash_dedup": OP1_SQL, "op8_top_k": OP8_SQL, "op9_url_filter": OP9_SQL, "op11_repair": OP11_SQL, "op12_exact_dedup": OP12_SQL, "op13_periods": OP13_SQL}
