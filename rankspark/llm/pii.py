@@ -47,6 +47,12 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def _part(digits: str) -> bool:
+    """Whether a part of an address is at most 255, whatever its leading zeros; long runs of digits never become numbers."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     done = 0
     at = text.find("@")
@@ -69,7 +75,7 @@ def base(text: str) -> list[Span]:
         return []
     out = [("email", a, b, True) for a, b in emails(text)]
     out += [("ip", m.start(), m.end(), True) for m in _IP.finditer(text)
-            if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.group().split("."))]
+            if all(_part(x) for x in m.group().split("."))]
     for m in _CARD.finditer(text):
         d = _digits(m.group())
         if 13 <= len(d) <= 19 and luhn(d):
