@@ -24,7 +24,9 @@ from pyspark.sql import types as T
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts are worked through in runs of about so many characters, words in runs of so many; bounds a task's memory.
 RUN_CHARS, RUN_WORDS, KEEP_UNITS = 1 << 20, 40_000, 200_000
-#: Longer words are merged round by round in a table that is replaced, since a recursion keeps what every round made.
+#: A recursion keeps what every round made, at most the square of a word's bytes in rows; runs hold so many such rows.
+RUN_ROWS = 3_000_000
+#: Longer words, of which one alone can exceed any run, are merged by the same step in a table that is replaced per round.
 LONG_WORD = 160
 
 #: White space other than space and newline; a text with any is cut by pattern.
@@ -141,10 +143,9 @@ class Codec:
         new = list({p for ps in pieces.values() for p in ps})
         ids: dict[str, bytes] = {}
         plain: dict[str, bytes] = {}
-        for at in range(0, len(new), RUN_WORDS):
-            part = new[at:at + RUN_WORDS]
-            for to, got in zip((ids, plain), self.words([p.encode() for p in part]), strict=True):
-                to.update(zip(part, got, strict=True))
+        for part in _runs([p.encode() for p in new]):
+            for to, got in zip((ids, plain), self.words(part), strict=True):
+                to.update(zip((p.decode() for p in part), got, strict=True))
         for cache, of in zip(caches, (ids, plain), strict=True):
             for u, ps in pieces.items():
                 cache[u] = of[ps[0]] if len(ps) == 1 else b"".join([of[p] for p in ps])
@@ -160,6 +161,20 @@ class Codec:
                       for first, rest in zip(self.first, self.rest, strict=True)) for x in cut]
 
 
+def _runs(words: list[bytes]) -> Iterator[list[bytes]]:
+    """The words in runs of at most RUN_WORDS words and about RUN_ROWS rows of work; a larger word is a run of its own."""
+    part, rows = [], 0
+    for w in words:
+        cost = min(len(w), LONG_WORD) * len(w)
+        if part and (len(part) == RUN_WORDS or rows + cost > RUN_ROWS):
+            yield part
+            part, rows = [], 0
+        part.append(w)
+        rows += cost
+    if part:
+        yield part
+
+
 def _cut(text: str) -> list[str]:
     if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _ODD_SPACE.search(text):
         return _CUT.split(text)
@@ -182,32 +197,37 @@ def codec(spark: SparkSession, path: str, pattern: str = PATTERN, digest: bool =
 
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Codec(sent.value, pattern)
+        collecting = gc.isenabled()
         gc.disable()  # millions of short-lived lists, none in a cycle
-        for column in parts:
-            out: list = []
-            waiting: list[str] = []
-            chars = 0
-
-            def flush() -> None:
-                for ids, plain in own.texts(waiting):
-                    if digest:
-                        ids, plain, n = hashlib.sha256(ids).hexdigest(), hashlib.sha256(plain).hexdigest(), len(ids) // 4
-                    else:
-                        n = len(ids) // 4
-                    out.append((n, ids, plain))
-                waiting.clear()
-
-            for x in column:
-                waiting.append(x.as_py() or "")
-                chars += len(waiting[-1])
-                if chars >= RUN_CHARS:
-                    flush()
-                    chars = 0
-            flush()
-            kind = pa.string() if digest else pa.binary()
-            fields = (DIGEST if digest else RESULT).names
-            yield pa.StructArray.from_arrays(
-                [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], kind), pa.array([x[2] for x in out], kind)], fields)
+        try:
+            for column in parts:
+                out: list = []
+                waiting: list[str] = []
+                chars = 0
+
+                def flush() -> None:
+                    for ids, plain in own.texts(waiting):
+                        if digest:
+                            ids, plain, n = hashlib.sha256(ids).hexdigest(), hashlib.sha256(plain).hexdigest(), len(ids) // 4
+                        else:
+                            n = len(ids) // 4
+                        out.append((n, ids, plain))
+                    waiting.clear()
+
+                for x in column:
+                    waiting.append(x.as_py() or "")
+                    chars += len(waiting[-1])
+                    if chars >= RUN_CHARS:
+                        flush()
+                        chars = 0
+                flush()
+                kind = pa.string() if digest else pa.binary()
+                fields = (DIGEST if digest else RESULT).names
+                yield pa.StructArray.from_arrays(
+                    [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], kind), pa.array([x[2] for x in out], kind)], fields)
+        finally:
+            if collecting:  # the worker serves other stages too
+                gc.enable()
 
     def column(text: Column) -> Column:
         return F.arrow_udf(run, DIGEST if digest else RESULT)(text.cast("string"))
