@@ -2,12 +2,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, field
+from functools import reduce
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rankspark.functions.hashing import hash_int, hash_order, joined, stable_hash
 from rankspark.operators.ranking import md5_bucket_row_number
 from rankspark.schema import flag
+from rankspark.session import cut_lineage
 
 BLOCK = 128
 #: Size from which the report of groups flags one as large.
@@ -86,13 +90,116 @@ def _pool(records: DataFrame, on: Sequence[str], seed, fragment: str) -> tuple[D
     return p, f.groupBy(*on).agg(F.count("*").alias("_size"))
 
 
+@dataclass(frozen=True)
+class Content:
+    """Similarity of two fragments: the sum of weight x [equal] over ``same`` and weight / (1 + |difference|) over ``near``."""
+
+    near: dict[str, float]
+    same: dict[str, float] = field(default_factory=dict)
+
+    def score(self) -> Column:
+        """Over columns a_* and c_*. A null never matches."""
+        parts = [F.lit(w) * F.when(F.col(f"a_{c}") == F.col(f"c_{c}"), 1).otherwise(0) for c, w in self.same.items()]
+        parts += [F.lit(w) * (F.lit(1.0) / (F.lit(1.0) + self.distance(c))) for c, w in self.near.items()]
+        return reduce(add, parts)
+
+    @staticmethod
+    def distance(c: str) -> Column:
+        return F.coalesce(F.abs(F.col(f"c_{c}") - F.col(f"a_{c}")).cast("double"), F.lit(float("inf")))
+
+
+def _placed(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """``name``: the place of every row in the order, from 0. Sorted by ranges; only partition sizes meet in one place."""
+    rows = cut_lineage(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_m", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    sizes = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
+    return rows.withColumn("_part", part).join(sizes, "_part").withColumn(
+        name, F.col("_before") + F.col("_m") - F.shiftleft("_part", 33)).drop("_m", "_part", "_before")
+
+
+def content_order(props: DataFrame, need: DataFrame, content: Content, fragment="fragment", first: int = 8) -> DataFrame:
+    """(anchor, candidate, _i): the ``_need`` best candidates of every anchor by content score, ties by falling md5. Exact.
+
+    A threshold search over sorted lists. Fragments of equal properties are one cell, which no anchor can tell apart, so
+    cells are searched and only the first members of a cell ever return. Each near column has two lists of cells: ordered
+    within the cells of equal ``same`` columns, and ordered over all. An anchor's cell is walked outwards from its own place,
+    twice as far per round. What was not met is no nearer than the frontier of a list, and outside its block it lacks the
+    least weight of ``same`` too: a cell leaves when these bounds fall below the score at which its need is covered.
+    """
+    same, near = list(content.same), list(content.near)
+    cells = cut_lineage(props.groupBy(*same, *near).agg(F.countDistinct(fragment).alias("_size")))
+    lists = [(f"p_{c}", [c, *same, *(x for x in near if x != c)]) for c in near]
+    if same:
+        lists += [(f"b_{c}", [*same, c, *(x for x in near if x != c)]) for c in near]
+    for name, order in lists:
+        cells = _placed(cells, order, name)
+    cells = cut_lineage(cells.withColumn("cell", F.col(lists[0][0])))
+    total = cells.count()
+    match = reduce(and_, [F.col(f"a_{c}").eqNullSafe(F.col(f"_{c}")) for c in [*same, *near]])
+    cell_of = props.select(F.col(fragment).alias("member"), *[F.col(c).alias(f"_{c}") for c in [*same, *near]]).distinct().join(
+        cells.select("cell", *[F.col(c).alias(f"a_{c}") for c in [*same, *near]]), match).select("member", "cell")
+    cell_of = cut_lineage(cell_of)
+    anchors = need.join(cell_of.withColumnRenamed("member", "anchor"), "anchor")
+    start = anchors.groupBy("cell").agg(F.max("_need").alias("need")).join(cells.drop("_size"), "cell")
+    if same:
+        edges = cells.groupBy(*same).agg(*[f(f"b_{c}").alias(f"{n}_{c}") for c in near for n, f in (("lo", F.min), ("hi", F.max))])
+        start = start.join(edges.select(*[F.col(c).alias(f"_{c}") for c in same], *[f"{n}_{c}" for c in near for n in ("lo", "hi")]),
+                           reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same])).drop(*[f"_{c}" for c in same])
+    start = start.withColumnsRenamed({"cell": "a_cell", **{c: f"a_{c}" for c in [*same, *near]}})
+    active = cut_lineage(start)
+    found, at, step = None, 0, first
+    whole = sum(content.same.values())
+    while not active.isEmpty():
+        away = F.sequence(F.lit(at), F.lit(at + step - 1))
+        away = F.array_distinct(F.concat(away, F.transform(away, lambda x: -x)))
+        met = None
+        for name, _ in lists:
+            c, inner = name[2:], name.startswith("b_")
+            lo, hi = (F.col(f"lo_{c}"), F.col(f"hi_{c}")) if inner else (F.lit(0), F.lit(total - 1))
+            ask = active.select("a_cell", *[f"a_{x}" for x in [*same, *near]], lo.alias("_lo"), hi.alias("_hi"), F.col(name).alias("_own"), F.explode(away).alias("_o"))
+            ask = ask.withColumn("_place", F.col("_own") + F.col("_o")).where("_place between _lo and _hi")
+            there = cells.select(F.col(name).alias("_place"), "cell", "_size", *[F.col(x).alias(f"c_{x}") for x in [*same, *near]])
+            rows = ask.join(there, "_place").select("a_cell", "cell", "_size", content.score().alias("score"), F.lit(name).alias("_list"),
+                                                    F.when(F.abs("_o") == at + step - 1, content.distance(c)).alias("_front"))
+            met = rows if met is None else met.unionByName(rows)
+        met = cut_lineage(met)
+        # a list whose outermost places are both past its ends has been seen whole
+        fronts = met.groupBy("a_cell").agg(*[F.min(F.when(F.col("_list") == name, F.col("_front"))).alias(f"f_{name}") for name, _ in lists])
+        new = met.groupBy("a_cell", "cell").agg(F.first("_size").alias("_size"), F.first("score").alias("score"))
+        seen = new if found is None else found.unionByName(new).groupBy("a_cell", "cell").agg(F.first("_size").alias("_size"), F.first("score").alias("score"))
+        w = Window.partitionBy("a_cell").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        seen = seen.join(start.select("a_cell", "need"), "a_cell").withColumn("_held", F.sum("_size").over(w))
+        covered = seen.where("_held >= need").groupBy("a_cell").agg(F.max("score").alias("enough"))
+        found = cut_lineage(seen.join(covered, "a_cell", "left").where(F.col("enough").isNull() | (F.col("score") >= F.col("enough")))
+                            .select("a_cell", "cell", "_size", "score"))
+
+        def bound(kind: str, weight: float) -> Column:
+            fronts_ = [F.col(f"f_{kind}_{c}") for c in near]
+            value = reduce(add, [F.lit(w) / (F.lit(1.0) + f) for f, w in zip(fronts_, content.near.values(), strict=True)]) + weight
+            return F.coalesce(value, F.lit(-1.0))  # a list without a front has ended
+        far = bound("p", whole - (min(content.same.values()) if same else 0.0))
+        most = F.greatest(far, F.when(far < 0, -1.0).otherwise(bound("b", whole))) if same else far
+        active = cut_lineage(active.join(fronts, "a_cell").join(covered, "a_cell", "left").where(
+            (most >= 0) & (F.col("enough").isNull() | (most >= F.col("enough") - 1e-12))).select(active.columns))
+        at, step = at + step, 2 * step
+    md5 = F.md5("member").desc()
+    reach = need.agg(F.max("_need")).scalar()
+    members = cell_of.withColumn("_k", F.row_number().over(Window.partitionBy("cell").orderBy(md5))).where(F.col("_k") <= reach)
+    if found is None:
+        return need.sparkSession.createDataFrame([], "anchor string, candidate string, _i int")
+    ranked = found.select("a_cell", "cell", "score").join(members, "cell").withColumn("_i", F.row_number().over(Window.partitionBy("a_cell").orderBy(F.desc("score"), md5)))
+    return (anchors.withColumnRenamed("cell", "a_cell").join(ranked, "a_cell").where(F.col("_i") <= F.col("_need"))
+            .select("anchor", F.col("member").alias("candidate"), "_i"))
+
+
 def negatives(records: DataFrame, queries: DataFrame, keys: Sequence[str], mode: str = "easy", seed=7,
-              pool_keys: Sequence[str] = (), content: Column | None = None, props: DataFrame | None = None,
-              pool_size: int = 5000, fragment="fragment") -> DataFrame:
+              pool_keys: Sequence[str] = (), content: Content | None = None, props: DataFrame | None = None,
+              fragment="fragment") -> DataFrame:
     """Requested negatives per query, never a fragment of the query's own group.
 
     easy: hash order over the whole vocabulary. same_target: the pool of ``pool_keys`` first, then the vocabulary.
-    content: highest content score first, among ``pool_size`` drawn places (the operator's own sampling parameter).
+    content: highest content score first, over all fragments of ``props``.
     """
     keys, pool_keys = list(keys), list(pool_keys)
     own = records.select(*keys, F.col(fragment).alias("candidate")).distinct()
@@ -110,15 +217,8 @@ def negatives(records: DataFrame, queries: DataFrame, keys: Sequence[str], mode:
             F.min(F.struct("tier", "_i")).alias("_s")).select("query_id", "candidate", "_s.tier", "_s._i")
     elif mode == "content":
         # the score depends on (anchor, candidate) only: rank once per anchor, then serve all of its queries
-        need = base.groupBy("anchor").agg(F.max(reach).alias("_need")).withColumn("query_id", F.col("anchor"))
-        cells = _walk(need.withColumn("_size", size.scalar()), everything, [], F.lit(pool_size), 0)
-        a = props.select([F.col(c).alias(("anchor" if c == fragment else "a_" + c)) for c in props.columns])
-        c = props.select([F.col(c).alias(("candidate" if c == fragment else "c_" + c)) for c in props.columns])
-        s = (cells.withColumnRenamed("query_id", "anchor").join(a, "anchor").join(c, "candidate")
-             .withColumn("_score", content))
-        w = Window.partitionBy("anchor").orderBy(F.desc("_score"), F.md5("candidate").desc())
-        best = (s.withColumn("_i", F.row_number().over(w)).join(need.select("anchor", "_need"), "anchor")
-                .where(F.col("_i") <= F.col("_need")).select("anchor", "candidate", "_i"))
+        need = base.groupBy("anchor").agg(F.max(reach).alias("_need"))
+        best = content_order(props.where(F.col(fragment).isNotNull()), need, content, fragment)
         drawn = base.select("query_id", "anchor").join(best, "anchor").select(
             "query_id", "candidate", F.lit(0).alias("tier"), "_i")
     else:

@@ -11,6 +11,7 @@ from rankspark.functions.bits import cosine, norm, phi_counts, tanimoto_counts
 from rankspark.functions.hashing import hash_int
 from rankspark.operators.ranking import md5_bucket_row_number, rank_candidates
 from rankspark.schema import flag
+from rankspark.session import cut_lineage
 
 
 # --- sets ----------------------------------------------------------------------------------------------------
@@ -69,39 +70,56 @@ def tanimoto_join(a: DataFrame, b: DataFrame, threshold: float, key_a: str = "ke
             .where(F.col("similarity") >= threshold - 1e-12))
 
 
-def similarity_counts(a: DataFrame, b: DataFrame, key_a="key", key_b="key", bits="bits") -> DataFrame:
-    """Shared-bit counts of all pairs that share a bit (posting-list join with partial sums)."""
-    pa = posting_rows(a.select(F.col(key_a).alias("key_a"), bits), "key_a", bits).withColumnRenamed("size", "size_a")
-    pb = posting_rows(b.select(F.col(key_b).alias("key_b"), bits), "key_b", bits).withColumnRenamed("size", "size_b")
-    return (pa.join(pb, "bit").groupBy("key_a", "key_b")
-            .agg(F.count("*").alias("shared"), F.min("size_a").alias("size_a"), F.min("size_b").alias("size_b"))
-            .withColumn("similarity", tanimoto_counts("shared", "size_a", "size_b")))
-
-
 def with_phi(pairs: DataFrame, n_bits: int) -> DataFrame:
     """V3: correlation of the two bit vectors from the counts of :func:`tanimoto_join`."""
     return pairs.withColumn("phi", phi_counts("shared", "size_a", "size_b", n_bits))
 
 
-def nearest(a: DataFrame, b: DataFrame, k: int = 1, steps: Sequence[float] = (0.6,), key="key",
-            bits="bits") -> DataFrame:
-    """The k most similar keys of ``b`` for every key of ``a``; ties by name.
+def _coded(df: DataFrame, name: str, key: str, bits: str, codes: DataFrame) -> DataFrame:
+    """key, n (size of the set) and the codes of its bits in ascending order; bits without a code only count in n."""
+    rows = df.select(F.col(key).alias(name), F.size(bits).alias("n"), F.explode(bits).alias("bit")).join(codes, "bit")
+    return rows.groupBy(name).agg(F.first("n").alias("n"), F.array_sort(F.collect_list("code")).alias("codes"))
+
+
+def nearest(a: DataFrame, b: DataFrame, k: int = 1, key="key", bits="bits", first: int = 4) -> DataFrame:
+    """(key_a, key_b, similarity, place) of the k most similar keys of ``b`` for every key of ``a``; ties by name. Exact.
+
+    A top-k set join in rounds. Bits are numbered from the rarest in ``b`` on; each key looks up its next bits, twice as many
+    per round, in the posting rows of ``b``. A partner not met in the first i of m known bits of a set of n shares at most
+    m - i, so its similarity is at most (m - i) / n: a key whose k-th similarity is above that leaves. Of the partners met,
+    those stay that can still reach the k-th similarity by what is left of both sets from the common place on. The rarest
+    common bit of a pair is where it counts, so no pair is scored twice. Partners without a common bit are none.
 
-    Keys that find k partners above a high threshold are settled by the cheap join; only the others meet all
-    partners they share a bit with.
+    Posting rows carry their set, so a pair is scored where it meets; a common bit is a join key that Spark splits.
     """
+    counts = b.select(F.explode(bits).alias("bit")).groupBy("bit").agg(F.count("*").alias("_df"))
+    codes = cut_lineage(counts.orderBy("_df", "bit").select("bit", F.monotonically_increasing_id().alias("code")))
+    sets = _coded(b, "key_b", key, bits, codes)
+    posts = cut_lineage(sets.select("key_b", F.col("n").alias("n_b"), F.col("codes").alias("codes_b"), F.posexplode("codes").alias("j", "code")))
+    left = cut_lineage(_coded(a, "key_a", key, bits, codes).withColumn("kth", F.lit(0.0)))
+    top = None
     w = Window.partitionBy("key_a").orderBy(F.desc("similarity"), "key_b")
-    done = None
-    left = a
-    for t in steps:
-        top = tanimoto_join(left, b, t, key, key, bits).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
-        full = top.groupBy("key_a").agg(F.count("*").alias("_c")).where(F.col("_c") >= k).select("key_a")
-        part = top.join(full, "key_a", "left_semi").select("key_a", "key_b", "similarity", "place")
-        done = part if done is None else done.unionByName(part)
-        left = left.join(full.withColumnRenamed("key_a", key), key, "left_anti")
-    rest = similarity_counts(left, b, key, key, bits).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
-    rest = rest.select("key_a", "key_b", "similarity", "place")
-    return rest if done is None else done.unionByName(rest)
+    at, step = 0, first
+    while not left.isEmpty():
+        ask = left.select("key_a", "n", "codes", "kth", F.posexplode(F.slice("codes", at + 1, step)).alias("i", "code"))
+        rest = F.least(F.size("codes") - F.col("i") - at, F.size("codes_b") - F.col("j"))
+        met = ask.join(posts, "code").where(rest >= F.col("kth") * (F.col("n") + F.col("n_b") - rest) - 1e-9)
+        common = F.array_intersect("codes", "codes_b")
+        met = met.select("key_a", "key_b", "n", "n_b", "code", "kth", common.alias("_both")).where(F.col("_both")[0] == F.col("code"))
+        new = met.select("key_a", "key_b", tanimoto_counts(F.size("_both"), F.col("n"), F.col("n_b")).alias("similarity"), "kth")
+        new = new.where(F.col("similarity") >= F.col("kth")).drop("kth")
+        if top is not None:
+            new = top.unionByName(new)
+        top = cut_lineage(new.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).drop("place"))
+        at, step = at + step, 2 * step
+        found = top.groupBy("key_a").agg(F.min("similarity").alias("_s"), F.count("*").alias("_c"))
+        left = left.where(F.size("codes") > at).join(found, "key_a", "left").withColumn(
+            "kth", F.when(F.col("_c") >= k, F.col("_s")).otherwise(0.0)).where(
+            F.col("kth") <= (F.size("codes") - at) / F.col("n") + 1e-9).drop("_s", "_c")
+        left = cut_lineage(left)
+    if top is None:
+        top = a.sparkSession.createDataFrame([], posts.select(F.col("key_b").alias("key_a"), "key_b", F.lit(0.0).alias("similarity")).schema)
+    return top.withColumn("place", F.row_number().over(w))
 
 
 def similarity_histogram(near: DataFrame, bins: int = 10) -> DataFrame:

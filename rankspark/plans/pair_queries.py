@@ -115,9 +115,7 @@ def negatives_content_matched(spark, d):
     from rankspark.functions.hashing import hash_int, joined
     r = _records(spark, d)
     q = PR.matrix_queries(r, KEYS, "shop")
-    score = (F.lit(0.75) * F.when(F.col("a_kind") == F.col("c_kind"), 1).otherwise(0)
-             + F.lit(0.25) * (F.lit(1.0) / (F.lit(1.0) + F.abs(F.col("c_size") - F.col("a_size")))))
-    n = PR.negatives(r, q, KEYS, "content", content=score, props=r.select("fragment", "kind", "size").distinct())
+    n = PR.negatives(r, q, KEYS, "content", content=PR.Content({"size": 0.25}, {"kind": 0.75}), props=r.select("fragment", "kind", "size").distinct())
     return n.join(q.select("query_id", "context"), "query_id").groupBy("context").agg(
         F.count("*").alias("n"), F.countDistinct("query_id").alias("queries"),
         F.sum(hash_int(joined("query_id", "candidate"))).alias("fingerprint"))

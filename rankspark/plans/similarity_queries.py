@@ -100,14 +100,14 @@ def similarity_prior(spark, d):
     return rounded(V.similarity_prior(V.tanimoto_join(a, b, 0.12), e, 0.12), "prior")
 
 
-@query("propose_nearest", "R3", fx.sql("""SELECT key_a AS anchor, candidate, row_number() OVER (PARTITION BY key_a ORDER BY place, r, candidate) AS rank FROM (SELECT key_a, candidate, min((place, r)) AS o, min((place, r))[1] AS place, min((place, r))[2] AS r FROM nr JOIN tc ON tc.query_id=nr.key_b WHERE place<=20 AND r<=5 GROUP BY key_a, candidate) QUALIFY rank<=10""",
+@query("propose_nearest", "R3", fx.sql("""SELECT key_a AS anchor, candidate, row_number() OVER (PARTITION BY key_a ORDER BY place, r, candidate) AS rank FROM (SELECT key_a, candidate, min((place, r)) AS o, min((place, r))[1] AS place, min((place, r))[2] AS r FROM nr JOIN tc ON tc.query_id=nr.key_b WHERE place<=100 AND r<=5 GROUP BY key_a, candidate) QUALIFY rank<=10""",
     CB + """, tc AS (SELECT query_id, candidate, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, candidate) AS r FROM purch WHERE is_train GROUP BY query_id, candidate)"""))
 def propose_nearest(spark, d):
     from pyspark.sql import Window
     a, b = split_customers(spark, d)
     c = fx.purchases(spark, d).where("is_train").groupBy(F.col("query_id").alias("anchor"), "candidate").agg(F.count("*").alias("n"))
     top = c.withColumn("rank", F.row_number().over(Window.partitionBy("anchor").orderBy(F.desc("n"), "candidate"))).where("rank <= 5")
-    return V.propose_nearest(V.nearest(a, b, 20), top, 5, 10)
+    return V.propose_nearest(V.nearest(a, b, 100), top, 5, 10)
 
 
 @query("c3f_score", "R4", fx.sql("""SELECT anchor, candidate, round((coalesce(c,0.0)+0.5::DOUBLE*f)/(ws+0.5::DOUBLE),6) AS score FROM (SELECT key_a AS anchor, candidate, f FROM (SELECT DISTINCT key_a FROM nr) x, (SELECT candidate, count(*)/max(count(*)) OVER ()::DOUBLE AS f FROM pos WHERE """ + FOLD + """<>0 GROUP BY candidate)) fr0

@@ -42,7 +42,7 @@ def test_negative_modes_honour_their_order(spark):
         got.setdefault(r.anchor, []).append((r.tier, r.candidate))
     assert all((0, "near") in v and len(v) == 2 for v in got.values()) and len(got) == 2
     props = spark.createDataFrame([(f, float(i)) for i, f in enumerate(["a", "b", "near", "far1", "far2", "far3"])], "fragment string, size double")
-    c = PR.negatives(df, q, keys, "content", props=props, content=-F.abs(F.col("a_size") - F.col("c_size"))).join(
+    c = PR.negatives(df, q, keys, "content", props=props, content=PR.Content({"size": 1.0})).join(
         q.where("anchor = 'a'"), "query_id")
     assert {r.candidate for r in c.collect()} == {"near", "far1"}
 
@@ -51,3 +51,28 @@ def test_property_band(spark):
     f = spark.createDataFrame([(f"r{i}", "x", f"f{i}", i) for i in range(6)], "request_id string, context string, fragment string, bin int")
     out = PR.property_matched(f, f, 5, 1).collect()
     assert {(r.request_id, r.fragment) for r in out} == {(f"r{i}", f"f{j}") for i in range(6) for j in (i - 1, i + 1) if 0 <= j < 6}
+
+
+def test_content_order_is_exact_over_many_fragments(spark):
+    """6,000 fragments of few and of many distinct properties, nulls and a hot cell, against scoring every pair."""
+    import hashlib
+    import random
+    r = random.Random(4)
+    props = [(f"f{i}", r.choice(["a", "b", "c", None]), r.choice([1.0, 2.0, r.random() * 300, r.random() * 3, None]), r.randrange(40)) for i in range(6000)]
+    props += [(f"h{i}", "a", 7.5, 3) for i in range(200)]
+    df = spark.createDataFrame(props, "fragment string, kind string, size double, rings int")
+    asked = [(p[0], n) for p, n in zip(r.sample(props, 12), [1, 2, 5, 40, 300, 7, 3, 1, 9, 20, 60, 2], strict=True)] + [("h0", 150), ("f0", 7000)]
+    need = spark.createDataFrame(asked, "anchor string, _need int")
+    content = PR.Content({"size": 0.5, "rings": 0.25}, {"kind": 0.75})
+    got = {}
+    for x in PR.content_order(df, need, content).collect():
+        got.setdefault(x.anchor, []).append((x._i, x.candidate))
+    known = {p[0]: p[1:] for p in props}
+
+    def near(x, y):
+        return 0.0 if x is None or y is None else 1.0 / (1.0 + abs(y - x))
+    for anchor, n in asked:
+        k, s, g = known[anchor]
+        score = {f: 0.75 * (k is not None and k == a) + 0.5 * near(s, b) + 0.25 * near(g, c) for f, (a, b, c) in known.items()}
+        want = sorted(known, key=lambda f: (score[f], hashlib.md5(f.encode()).hexdigest()), reverse=True)[:n]
+        assert [f for _, f in sorted(got[anchor])] == want
