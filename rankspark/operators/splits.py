@@ -3,12 +3,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rankspark.functions.hashing import hash_fold, hash_order
-from rankspark.operators.filters import drop_nonheldout_positives
 from rankspark.operators.ranking import md5_bucket_row_number
 from rankspark.schema import flag
+from rankspark.session import cut_lineage
 
 
 def split_values(values: DataFrame, column: str, fraction: float, seed) -> DataFrame:
@@ -26,43 +26,91 @@ def group_split(df: DataFrame, key: str, fraction: float = 0.7, seed=0, label="l
     return df.join(sides, key)
 
 
-def value_heldout_split(df: DataFrame, column: str, fraction: float = 0.7, seed=0, exclude_test_queries: bool = False,
-                        strict: bool = False, query="query_id", label="label") -> tuple[DataFrame, DataFrame]:
-    """(train, test). Positive-support values are held out; test is made of whole queries that have a
-    held-out positive. ``strict`` also divides the values that only occur in negatives."""
-    sides = split_values(df.where(F.col(label) == 1), column, fraction, seed)
-    held = sides.where("side = 'test'").select(column)
-    test_q = df.where(F.col(label) == 1).join(held, column, "left_semi").select(query).distinct()
+def held_flags(df: DataFrame, column: str, sides: DataFrame, strict: bool = False, exclude_test_queries: bool = False,
+               query="query_id", label="label") -> DataFrame:
+    """``df`` with booleans in_train and in_test, in one pass: the side of each value is joined once, whether a query holds a
+    held-out positive is a window over its rows. A table clustered by query needs no other exchange."""
+    s = df.join(sides.select(column, F.col("side").alias("_side")), column, "left")
+    held = F.coalesce(F.col("_side") == "test", F.lit(False))
+    whole = F.max((F.col(label) == 1) & held).over(Window.partitionBy(query))
+    s = s.withColumn("_held", held).withColumn("_asked", F.coalesce(whole, F.lit(False)))
     if strict:
-        only_neg = df.select(column).distinct().join(sides, column, "left_anti")
-        n = only_neg.agg(F.count("*"))
-        neg = md5_bucket_row_number(only_neg, f"{seed}-neg", [column], "_i").withColumn("_n", n.scalar()).select(
-            column, F.when(F.col("_i") <= F.floor(F.col("_n") * fraction), "train").otherwise("test").alias("side"))
-        space = sides.unionByName(neg)
-        train = df.join(space.where("side = 'train'").select(column), column, "left_semi")
-        test = (df.join(test_q, query, "left_semi")
-                .join(space.where("side = 'test'").select(column), column, "left_semi"))
+        train, test = F.coalesce(F.col("_side") == "train", F.lit(False)), F.col("_asked") & F.col("_held")
     else:
-        train = df.join(held, column, "left_anti")
-        test = drop_nonheldout_positives(df.join(test_q, query, "left_semi"), held, column, label)
+        train, test = ~F.col("_held"), F.col("_asked") & ((F.col(label) != 1) | F.col("_held"))
     if exclude_test_queries:
-        train = train.join(test_q, query, "left_anti")
-    return train, test
+        train = train & ~F.col("_asked")
+    return s.withColumns({"in_train": train, "in_test": test}).drop("_side", "_held", "_asked")
+
+
+def value_sides(df: DataFrame, column: str, fraction: float, seed, strict: bool = False, label="label") -> DataFrame:
+    """value, side. Positive-support values are divided; ``strict`` also divides those that only occur in negatives."""
+    support = cut_lineage(df.groupBy(column).agg(F.max((F.col(label) == 1).cast("int")).alias("positive")))
+    sides = split_values(support.where("positive = 1"), column, fraction, seed)
+    if not strict:
+        return sides
+    rest = support.where("coalesce(positive, 0) = 0")
+    n = rest.agg(F.count("*"))
+    negative = md5_bucket_row_number(rest, f"{seed}-neg", [column], "_i").withColumn("_n", n.scalar()).select(
+        column, F.when(F.col("_i") <= F.floor(F.col("_n") * fraction), "train").otherwise("test").alias("side"))
+    return sides.unionByName(negative)
+
+
+def flagged_split(df: DataFrame, column: str, fraction: float = 0.7, seed=0, exclude_test_queries: bool = False,
+                  strict: bool = False, query="query_id", label="label") -> DataFrame:
+    """``df`` with in_train and in_test. The matrix is written once, and read twice: for the values and for the flags."""
+    df = cut_lineage(df)
+    return held_flags(df, column, value_sides(df, column, fraction, seed, strict, label), strict, exclude_test_queries, query, label)
+
+
+def value_heldout_split(df: DataFrame, column: str, fraction: float = 0.7, seed=0, exclude_test_queries: bool = False,
+                        strict: bool = False, query="query_id", label="label") -> tuple[DataFrame, DataFrame]:
+    """(train, test). Positive-support values are held out; test is made of whole queries that have a
+    held-out positive. ``strict`` also divides the values that only occur in negatives. Both sides are filters of one written
+    table."""
+    both = cut_lineage(flagged_split(df, column, fraction, seed, exclude_test_queries, strict, query, label))
+    return both.where("in_train").drop("in_train", "in_test"), both.where("in_test").drop("in_train", "in_test")
+
+
+def fold_flags(train: DataFrame, column: str, n: int = 3, exclude_queries: bool = False, query="query_id", label="label") -> DataFrame:
+    """``train`` with arrays in_fit and in_val of one boolean per fold, in one pass over the written table.
+
+    Fold i holds out the values with a positive whose hash falls on i; its validation rows are the whole queries with such a
+    positive, without their positives of other values."""
+    train = cut_lineage(train)
+    values = train.where(F.col(label) == 1).select(column).distinct().withColumn("_f", hash_fold(column, n))
+    rows = train.join(values, column, "left")
+    positive = F.col(label) == 1
+    asked = [F.coalesce(F.max(positive & (F.col("_f") == i)).over(Window.partitionBy(query)), F.lit(False)) for i in range(n)]
+    rows = rows.withColumn("_asked", F.array(*asked))
+    held = [F.coalesce(F.col("_f") == i, F.lit(False)) for i in range(n)]
+    fit = [~h & (~F.col("_asked")[i] if exclude_queries else F.lit(True)) for i, h in enumerate(held)]
+    val = [F.col("_asked")[i] & (~positive | h) for i, h in enumerate(held)]
+    return rows.withColumns({"in_fit": F.array(*fit), "in_val": F.array(*val)}).drop("_f", "_asked")
 
 
 def inner_folds(train: DataFrame, column: str, n: int = 3, exclude_queries: bool = False, query="query_id",
                 label="label") -> list[tuple[DataFrame, DataFrame]]:
-    """Value-heldout folds inside the train side, with the same exclusions."""
-    values = train.where(F.col(label) == 1).select(column).distinct().withColumn("_f", hash_fold(column, n))
-    out = []
-    for i in range(n):
-        held = values.where(F.col("_f") == i).select(column)
-        vq = train.where(F.col(label) == 1).join(held, column, "left_semi").select(query).distinct()
-        inner = train.join(held, column, "left_anti")
-        if exclude_queries:
-            inner = inner.join(vq, query, "left_anti")
-        out.append((inner, drop_nonheldout_positives(train.join(vq, query, "left_semi"), held, column, label)))
-    return out
+    """Value-heldout folds inside the train side, with the same exclusions, as filters of one written table."""
+    rows = cut_lineage(fold_flags(train, column, n, exclude_queries, query, label))
+    own = [c for c in rows.columns if c not in ("in_fit", "in_val")]
+    return [(rows.where(F.col("in_fit")[i]).select(own), rows.where(F.col("in_val")[i]).select(own)) for i in range(n)]
+
+
+def flag_report(rows: DataFrame, column: str, query="query_id", label="label") -> DataFrame:
+    """:func:`split_report` of rows with in_train and in_test, in two aggregates over one table."""
+    one = lambda c: F.col(c).cast("int")
+    rows = rows.select(query, column, F.col(label).cast("int").alias("_y"), one("in_train").alias("t"), one("in_test").alias("e"))
+    rows = rows.where("t + e > 0")
+    per_value = rows.groupBy(column).agg(F.max("t").alias("t"), F.max("e").alias("e"), F.max(F.col("e") * F.col("_y")).alias("ep"))
+    v = per_value.agg(F.sum(F.col("t") * F.col("e")).cast("bigint").alias("value_overlap"),
+                      F.sum(F.col("t") * F.col("ep")).cast("bigint").alias("positive_value_overlap"))
+    per_query = rows.groupBy(query).agg(F.max("t").alias("t"), F.max("e").alias("e"), F.sum("t").alias("nt"), F.sum("e").alias("ne"),
+                                        F.sum(F.col("t") * F.col("_y")).alias("pt"), F.sum(F.col("e") * F.col("_y")).alias("pe"))
+    b = lambda c, n: F.sum(c).cast("bigint").alias(n)
+    q = per_query.agg(b("nt", "train_rows"), b("ne", "test_rows"), b("t", "train_queries"), b("e", "test_queries"), b("pt", "train_positives"),
+                      b("pe", "test_positives"), b(F.col("t") * F.col("e"), "query_overlap"))
+    return q.withColumn("_v", v.select(F.struct("*")).scalar()).select(*q.columns, "_v.*")
 
 
 def split_report(train: DataFrame, test: DataFrame, column: str, query="query_id", label="label") -> DataFrame:

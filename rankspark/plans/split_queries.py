@@ -10,6 +10,7 @@ from rankspark.plans import fixtures as fx
 from rankspark.plans.fusion_queries import WIDE, wide
 from rankspark.plans.prior_queries import rounded
 from rankspark.plans.registry import query
+from rankspark.session import cut_lineage
 
 
 def side_sql(col: str, seed: str, name: str = "sd", src: str = "m", frac: str = "0.7") -> str:
@@ -44,29 +45,27 @@ te AS (SELECT * FROM m WHERE query_id IN (SELECT query_id FROM tq) AND NOT (labe
 
 @query("value_heldout_split", "L4", fx.sql(report_sql("candidate"), _held("candidate", "1", True)))
 def value_heldout_split(spark, d):
-    return L.split_report(*L.value_heldout_split(fx.matrix(spark, d), "candidate", seed=1, exclude_test_queries=True), "candidate")
+    return L.flag_report(cut_lineage(L.flagged_split(fx.matrix(spark, d), "candidate", seed=1, exclude_test_queries=True)), "candidate")
 
 
 @query("strict_heldout_split", "L5", fx.sql(report_sql("candidate"), _held("candidate", "2", False, True)))
 def strict_heldout_split(spark, d):
-    return L.split_report(*L.value_heldout_split(fx.matrix(spark, d), "candidate", seed=2, strict=True), "candidate")
+    return L.flag_report(cut_lineage(L.flagged_split(fx.matrix(spark, d), "candidate", seed=2, strict=True)), "candidate")
 
 
 @query("core_heldout_split", "L6", fx.sql(report_sql("context"), _held("context", "3", False)))
 def core_heldout_split(spark, d):
-    return L.split_report(*L.value_heldout_split(fx.matrix(spark, d), "context", seed=3), "context")
+    return L.flag_report(cut_lineage(L.flagged_split(fx.matrix(spark, d), "context", seed=3)), "context")
 
 
 @query("inner_folds", "L7", fx.sql("""SELECT f AS fold, (SELECT count(*) FROM m WHERE candidate NOT IN (SELECT candidate FROM v WHERE v.f=x.f) AND query_id NOT IN (SELECT query_id FROM m JOIN v ON v.candidate=m.candidate WHERE label=1 AND v.f=x.f)) AS train_rows,
  (SELECT count(*) FROM m WHERE query_id IN (SELECT query_id FROM m JOIN v ON v.candidate=m.candidate WHERE label=1 AND v.f=x.f) AND NOT (label=1 AND candidate NOT IN (SELECT candidate FROM v WHERE v.f=x.f))) AS val_rows FROM (VALUES (0),(1),(2)) x(f)""",
     "v AS (SELECT DISTINCT candidate, (('0x'||substr(md5(candidate),1,8))::BIGINT % 3)::INT AS f FROM m WHERE label=1)"))
 def inner_folds(spark, d):
-    out = None
-    for i, (tr, va) in enumerate(L.inner_folds(fx.matrix(spark, d), "candidate", exclude_queries=True)):
-        r = tr.agg(F.count("*").alias("train_rows")).withColumn("fold", F.lit(i)).withColumn(
-            "val_rows", va.agg(F.count("*")).scalar())
-        out = r if out is None else out.unionByName(r)
-    return out
+    rows = L.fold_flags(fx.matrix(spark, d), "candidate", exclude_queries=True)
+    n = rows.agg(*[F.count_if(F.col(c)[i]).alias(f"{c}{i}") for c in ("in_fit", "in_val") for i in range(3)])
+    return n.select(F.explode(F.array(*[F.struct(F.lit(i).alias("fold"), F.col(f"in_fit{i}").alias("train_rows"), F.col(f"in_val{i}").alias("val_rows"))
+                                        for i in range(3)])).alias("r")).select("r.*")
 
 
 @query("hash_folds", "L8", """SELECT c_custkey, (('0x'||substr(md5(c_custkey::VARCHAR),1,8))::BIGINT % 5)::INT AS fold, ('0x'||substr(md5(c_custkey::VARCHAR),1,8))::BIGINT % 10000 < 2500 AS mask,
