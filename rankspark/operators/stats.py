@@ -138,13 +138,49 @@ def permute_within_query(df: DataFrame, seed, query="query_id", candidate="candi
         label, flag(F.col("_r") <= F.col("_p"))).drop("_r", "_p")
 
 
+def permutation_sides(n: int) -> tuple[int, int]:
+    """a x b >= n with a near the root of n and as few places above n as can be."""
+    root = max(1, int(n ** 0.5))
+    return min(((a, -(-n // a)) for a in range(root, root + min(root, 1000) + 1)), key=lambda s: (s[0] * s[1] - n, s[0]))
+
+
+def permuted(df: DataFrame, place: str, key: str, n: int, out: str, rounds: int = 4) -> DataFrame:
+    """``out``: the place 0..n-1 that a pseudo-random permutation named by ``key`` (below 2**20) gives to ``place``.
+
+    The place is cut into a row and a column of a grid of at least n cells; in turn one of them is shifted by a hash of the
+    other, which can be undone, so it is a permutation of the grid. A place past n is permuted again until it falls below:
+    the grid has only a few of them, and no walk is longer than their number. Each row is computed by itself: a permutation of
+    any size needs no sort and no copy.
+    """
+    a, b = permutation_sides(n)
+
+    def shift(x: str, turn: int) -> Column:
+        k = (F.col(key) * (2 * turn + 3) + 7919 * turn) % (1 << 20)
+        return F.shiftright((F.col(x) + k) * (F.col(x) + k) * 31 + F.col(x) * k, 5)
+    df = df.withColumn("_p", F.col(place).cast("bigint"))
+    for walk in range(a * b - n + 1):
+        df = df.withColumns({"_l": F.expr(f"_p div {b}"), "_c": F.col("_p") % b})
+        for turn in range(rounds):
+            df = df.withColumn("_l", (F.col("_l") + shift("_c", turn)) % a) if turn % 2 == 0 else df.withColumn("_c", (F.col("_c") + shift("_l", turn)) % b)
+        moved = F.col("_l") * b + F.col("_c")
+        df = df.withColumn("_p", moved if walk == 0 else F.when(F.col("_p") < n, F.col("_p")).otherwise(moved))
+    # never null: else a join would ask for it below all these columns, with their expressions copied into one another
+    return df.withColumn(out, F.coalesce("_p", F.lit(0).cast("bigint"))).drop("_p", "_l", "_c")
+
+
 def shuffled_edges(edges: DataFrame, replicates: int, seed, template="template", target="candidate") -> DataFrame:
-    """Copies of the prior edges with the target column permuted, one per replicate."""
-    r = edges.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    seat = md5_bucket_row_number(r, seed, ["replicate", template, target], "_i", within=["replicate"])
-    draw = md5_bucket_row_number(r.select("replicate", template, target), f"{seed}-target",
-                                 ["replicate", template, target], "_i", within=["replicate"])
-    return seat.drop(target).join(draw.select("replicate", "_i", target), ["replicate", "_i"]).drop("_i")
+    """The prior edges with the target column permuted, one permutation per replicate.
+
+    Edges are seated once; replicate r takes the target of the seat that its permutation names.
+    """
+    seats = cut_lineage(md5_bucket_row_number(edges, seed, [template, target], "_i"))
+    n = seats.count()
+    if n == 0:
+        return edges.withColumn("replicate", F.lit(0))
+    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"))), 1, 5), 16, 10).cast("bigint")
+    rows = seats.drop(target).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_key", key)
+    rows = permuted(rows.withColumn("_i", F.col("_i") - 1), "_i", "_key", n, "_seat").drop("_i", "_key")
+    return rows.join(seats.select((F.col("_i") - 1).alias("_seat"), target), "_seat").drop("_seat")
 
 
 def null_summary(observed: DataFrame, null: DataFrame, value: str) -> DataFrame:

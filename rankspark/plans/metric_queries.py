@@ -16,6 +16,7 @@ from rankspark.plans.benchmark_queries import HITS, metric_sql, random_hit_sql
 from rankspark.plans.fusion_queries import (LEVELS, SPARSE, TIER_SQL, WIDE, flagged, held_positives, tiered, wide)
 from rankspark.plans.prior_queries import rounded
 from rankspark.plans.registry import query
+from rankspark.session import cut_lineage
 from rankspark.plans.scalar_queries import EDGES, FLAGS, edge_table
 from rankspark.schema import flag
 
@@ -307,16 +308,42 @@ def two_group_difference(spark, d):
     return ST.two_group_difference(r, "label", "query_id", "context", "BUILDING", "MACHINERY")
 
 
-@query("randomized_prior_null", "M12")
+def _shift(x: str, turn: int) -> str:
+    k = f"((key * {2 * turn + 3} + {7919 * turn}) % {1 << 20})"
+    return f"((({x} + {k}) * ({x} + {k}) * 31 + {x} * {k}) >> 5)"
+
+
+def _permuted_sql() -> str:
+    """One application of the keyed permutation to x, as nested selects."""
+    sql = "SELECT *, x // b AS l, x % b AS c FROM src"
+    for turn in range(4):
+        sql = (f"SELECT * REPLACE ((l + {_shift('c', turn)}) % a AS l) FROM ({sql})" if turn % 2 == 0
+               else f"SELECT * REPLACE ((c + {_shift('l', turn)}) % b AS c) FROM ({sql})")
+    return f"SELECT i, replicate, key, n, a, b, l * b + c AS x FROM ({sql})"
+
+
+NULL_SQL = """seated AS (SELECT template, candidate, greatest(0.0::DOUBLE,improvement)*ln(1.0::DOUBLE+n_sources) AS weight, row_number() OVER (ORDER BY md5('17|'||template||'|'||candidate), template, candidate)-1 AS i FROM edges),
+size AS (SELECT count(*) AS n, greatest(1, floor(sqrt(count(*)::DOUBLE)))::BIGINT AS root FROM seated),
+grid AS (SELECT n, a, (n+a-1)//a AS b FROM (SELECT n, unnest(range(root, root+least(root,1000)+1)) AS a FROM size) ORDER BY a*((n+a-1)//a)-n, a LIMIT 1),
+first AS (SELECT i, replicate, ('0x'||substr(md5('17|'||replicate),1,5))::BIGINT AS key, n, a, b, i AS x FROM seated, grid, unnest(range(1,1001)) t(replicate)),
+walk AS (""" + _permuted_sql().replace("FROM src", "FROM first") + " UNION ALL " + _permuted_sql().replace("FROM src", "FROM (SELECT * FROM walk WHERE x >= n)") + """),
+pairs AS (SELECT anchor AS template, candidate, count(*) AS k FROM m WHERE label=1 GROUP BY ALL),
+tot AS (SELECT sum(k)::DOUBLE AS t FROM pairs),
+ob AS (SELECT sum(k*weight)/max(t) AS v FROM pairs JOIN seated USING (template, candidate), tot),
+nul AS (SELECT replicate, sum(k*s.weight)/max(t) AS v FROM walk JOIN seated s ON s.i=walk.i JOIN seated o ON o.i=walk.x JOIN pairs p ON p.template=s.template AND p.candidate=o.candidate, tot WHERE x < n GROUP BY 1)"""
+
+
+@query("randomized_prior_null", "M12", fx.sql("""SELECT round(max(ob.v),6) AS observed, round(avg(nul.v),6) AS null_mean, round(quantile_cont(nul.v,0.025),6) AS low, round(quantile_cont(nul.v,0.975),6) AS high,
+ round((sum((nul.v>=ob.v)::INT)+1)/(count(*)+1.0::DOUBLE),6) AS p_value FROM nul, ob""", EDGES + ", " + NULL_SQL).replace("WITH ", "WITH RECURSIVE ", 1))
 def randomized_prior_null(spark, d):
     e = edge_table(spark, d).withColumn("weight", S.edge_weight("full_activity_publication", "improvement", "n_sources"))
     pairs = fx.matrix(spark, d).where("label = 1").groupBy(F.col("anchor").alias("template"), "candidate").agg(F.count("*").alias("k"))
     total = pairs.agg(F.sum("k").cast("double"))
     score = lambda t: (F.sum(F.col("k") * F.col("weight")) / total.scalar()).alias("v")
     observed = pairs.join(e, ["template", "candidate"]).agg(score(0))
-    null = ST.shuffled_edges(e.select("template", "candidate", "weight"), 20, 17).join(
+    null = ST.shuffled_edges(e.select("template", "candidate", "weight"), 1000, 17).join(
         pairs, ["template", "candidate"]).groupBy("replicate").agg(score(1))
-    return ST.null_summary(observed, null, "v")
+    return rounded(ST.null_summary(observed, cut_lineage(null), "v"), "observed", "null_mean", "low", "high", "p_value")
 
 
 @query("policy_pairwise", "M18")
@@ -325,4 +352,4 @@ def policy_pairwise(spark, d):
         "query_id", "method", F.explode(F.array(F.struct(F.lit("hit10").alias("metric"), F.col("hit10").cast("double").alias("value")),
                                                 F.struct(F.lit("mrr").alias("metric"), F.col("mrr").alias("value")))).alias("e")
     ).select("query_id", "method", "e.*")
-    return rounded(ST.policy_pairwise(det, "method", "metric", "value", replicates=100), "estimate", "low", "high", "se")
+    return rounded(ST.policy_pairwise(det, "method", "metric", "value", replicates=1000), "estimate", "low", "high", "se")

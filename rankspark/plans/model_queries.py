@@ -67,6 +67,35 @@ def ridge_content(spark, d):
     return s.groupBy("context").agg(F.count("*").alias("n"), r6(F.avg("score")).alias("mean_score"), r6(F.max("score")).alias("best"))
 
 
+def _optimum_sql(features: list[str]) -> str:
+    """At the optimum every slope of the penalised loss is zero."""
+    return fx.sql("SELECT feature, 0.0::DOUBLE AS slope, (SELECT count(*) FROM ft JOIN sd ON sd.anchor=ft.anchor WHERE is_tr) AS rows FROM (VALUES " + ", ".join(f"('{f}')" for f in features) + ") t(feature)",
+                  """sd AS (SELECT anchor, i<=greatest(1,least(n-1,floor(n*0.7::DOUBLE))) AS is_tr FROM (SELECT anchor, row_number() OVER (ORDER BY md5('0|'||anchor)) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT anchor FROM m WHERE label=1)))""")
+
+
+def _slopes(tr, m, predicted, weight: float, digits: int):
+    """Slope of the penalised loss a row for every feature and the intercept, recomputed from the rows."""
+    rest = F.col("label") - predicted
+    names, z = [*m.scaler.columns, "intercept"], [*m.scaler.scaled(), F.lit(1.0)]
+    g = tr.agg(F.count("*").alias("rows"), *[F.sum(x * rest).alias(n) for n, x in zip(names, z)])
+    loss = [F.struct(F.lit(n).alias("feature"), F.abs(F.round((F.col(n) - weight * c) / F.col("rows"), digits)).alias("slope"), "rows") for n, c in zip(names, [*m.coef, 0.0])]
+    return g.select(F.explode(F.array(*loss)).alias("r")).select("r.*")
+
+
+@query("ridge_optimum", "R6", _optimum_sql([*FEATURES, "intercept"]))
+def ridge_optimum(spark, d):
+    tr, _ = sides(spark, d)
+    m = MO.fit_ridge(tr)
+    return _slopes(tr, m, m.score(), 1.0, 6)
+
+
+@query("logistic_optimum", "R8", _optimum_sql([*FEATURES, "score_a", "intercept"]))
+def logistic_optimum(spark, d):
+    tr, _ = sides(spark, d)
+    m = MO.fit_logistic(tr, [*FEATURES, "score_a"])
+    return _slopes(tr, m, m.probability(), 1.0, 4)
+
+
 @query("gradient_boosting", "R11")
 def gradient_boosting(spark, d):
     tr, te = sides(spark, d)
@@ -80,7 +109,7 @@ def pairwise_ranker(spark, d):
     cols = FEATURES + ["score_a", "score_b"]
     sc = MO.Scaler.fit(tr, cols)
     z = tr.select("query_id", "candidate", "label", *[x.alias(c) for x, c in zip(sc.scaled(), cols)])
-    m = MO.fit_pairwise(SA.pos_neg_pairs(z, cols, 50, 3), 20)
+    m = MO.fit_pairwise(SA.pos_neg_pairs(z, cols, 50, 3), 50)
     s = te.withColumn("score_pair", MO.linear_score(sc, m.coefficients.toArray().tolist(), 0.0))
     return _summary(MO.method_summary(s, ["pair"]))
 
