@@ -27,7 +27,7 @@ _WORD = re.compile(r"[a-z]+|[0-9]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Content that is never text of a page.
-RAW = frozenset("script style noscript template iframe svg math textarea select option button title object canvas audio video head".split())
+RAW = frozenset("script style noscript template iframe svg textarea select option button title canvas audio video head".split())
 _UNPARSED = frozenset("script style textarea title iframe".split())
 #: Elements that a head may hold: any other closes an open head.
 _IN_HEAD = frozenset("base basefont bgsound link meta title script style noscript noframes template object head html".split())
