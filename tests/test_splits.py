@@ -90,3 +90,15 @@ def test_manifest_matches_md5(spark, tmp_path):
     (tmp_path / "b.bin").write_bytes(b"y")
     m = {r.file: (r.length, r.md5) for r in A.source_manifest(spark, str(tmp_path), chunk=64).collect()}
     assert m == {"a.bin": (1000, hashlib.md5(b"x" * 1000).hexdigest()), "b.bin": (1, hashlib.md5(b"y").hexdigest())}
+
+
+def test_shards_cut_only_keys_above_the_bound(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from rankspark.sources import tables as TB
+    rows = [("hot", i) for i in range(1000)] + [(f"k{i % 40}", i) for i in range(400)] + [(None, i) for i in range(5)]
+    TB.write_sharded(spark.createDataFrame(rows, "k string, v int"), str(tmp_path / "s"), "k", rows_per_shard=100, buckets=16)
+    back = spark.read.parquet(str(tmp_path / "s")).withColumn("f", F.col("_metadata.file_path"))
+    per = {r.k: (r.n, r.files) for r in back.groupBy("k").agg(F.count("*").alias("n"), F.countDistinct(F.regexp_extract("f", "part-([0-9]+)", 1)).alias("files")).collect()}
+    assert per.pop("hot")[0] == 1000 and per.pop(None) == (5, 1)
+    assert all(v == (10, 1) for v in per.values()) and len(per) == 40
+    assert back.groupBy("f").count().agg(F.max("count")).first()[0] <= 100
