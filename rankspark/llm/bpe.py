@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by recursive DuckDB queries inside Spark tasks.
 
 A text is cut at spaces between two visible characters, where no pre-token can span, so each distinct space-free unit is
-split by the tokenizer's pattern once and its distinct pre-tokens are merged once. Token-position rows of the new words join
+split by the tokenizer's pattern once and its distinct pre-tokens are merged once a worker process. Token-position rows of the new words join
 the merge table; each round contracts every word's leftmost pair of least rank; words without a mergeable pair drop out of
 the recursion. Decoding joins the ids with the vocabulary and aggregates the bytes in position order.
 """
@@ -11,7 +11,7 @@ import base64
 import gc
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,12 +66,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Cache(dict):
-    """unit -> bytes in two generations: when the younger is full the elder is dropped, so frequent units stay."""
+    """unit or pre-token -> what was made of it, in two generations: when the younger is full the elder is dropped, so frequent units stay."""
 
     def __init__(self):
-        self.elder: dict[str, bytes] = {}
+        self.elder: dict = {}
 
-    def __missing__(self, unit: str) -> bytes:
+    def __missing__(self, unit: str):
         self[unit] = out = self.elder[unit]
         return out
 
@@ -96,6 +96,8 @@ class Codec:
         self._table("vocabulary", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array(list(ranks), pa.binary())}))
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.pattern, self.usual = regex.compile(pattern), pattern == PATTERN
+        #: pre-token -> (ids, decoded bytes); units that differ in a mark or the space before them share their words
+        self.known = Cache()
         #: (ids, decoded bytes) of units at a text's start and after a space
         self.first, self.rest = (Cache(), Cache()), (Cache(), Cache())
 
@@ -140,15 +142,15 @@ class Codec:
 
     def _learn(self, units: set[str], caches: tuple[Cache, Cache], lead: str) -> None:
         pieces = {u: self._pieces(lead, u) for u in units}
-        new = list({p for ps in pieces.values() for p in ps})
-        ids: dict[str, bytes] = {}
-        plain: dict[str, bytes] = {}
-        for part in _runs([p.encode() for p in new]):
-            for to, got in zip((ids, plain), self.words(part), strict=True):
-                to.update(zip((p.decode() for p in part), got, strict=True))
-        for cache, of in zip(caches, (ids, plain), strict=True):
-            for u, ps in pieces.items():
-                cache[u] = of[ps[0]] if len(ps) == 1 else b"".join([of[p] for p in ps])
+        for part in _runs([p.encode() for p in self.known.lacking({p for ps in pieces.values() for p in ps})]):
+            self.known.update(zip((p.decode() for p in part), zip(*self.words(part), strict=True), strict=True))
+        ids, plain = caches
+        for u, ps in pieces.items():
+            if len(ps) == 1:
+                ids[u], plain[u] = self.known[ps[0]]
+            else:
+                of, text = zip(*map(self.known.__getitem__, ps), strict=True)
+                ids[u], plain[u] = b"".join(of), b"".join(text)
 
     def texts(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids, decoded bytes) of each text."""
@@ -187,19 +189,34 @@ DIGEST = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("i
                        T.StructField("decoded_sha256", T.StringType())])
 
 
+#: The worker process's last codec and what it was made for; later tasks of the process find the words learned so far.
+_own: tuple[tuple, Codec] | None = None
+
+
+def own_codec(key: tuple, ranks: Callable[[], dict[bytes, int]], pattern: str) -> Codec:
+    """The process's codec for the key, made anew if it served another rank file or pattern."""
+    global _own
+    if _own is None or _own[0] != key:
+        _own = None
+        _own = key, Codec(ranks(), pattern)
+    return _own[1]
+
+
 def codec(spark: SparkSession, path: str, pattern: str = PATTERN, digest: bool = False):
     """Column function: text -> struct of n_tokens, ids and decoded bytes, or with ``digest`` their SHA-256 in hex.
 
     The rank file (about a megabyte, whatever the corpus) is read once on the driver and broadcast. Special tokens are
     ordinary text. A null or empty text has no tokens. Texts are encoded whole, however long.
     """
-    sent = spark.sparkContext.broadcast(read_ranks(path))
+    ranks = read_ranks(path)
+    sent = spark.sparkContext.broadcast(ranks)
+    key = hashlib.sha256(repr(list(ranks.items())).encode()).hexdigest(), pattern
 
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = Codec(sent.value, pattern)
         collecting = gc.isenabled()
         gc.disable()  # millions of short-lived lists, none in a cycle
         try:
+            own = own_codec(key, lambda: sent.value, pattern)
             for column in parts:
                 out: list = []
                 waiting: list[str] = []

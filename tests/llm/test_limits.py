@@ -3,6 +3,7 @@ import random
 import re
 
 import public_tokenizers
+import pytest
 import tiktoken
 from tiktoken.load import load_tiktoken_bpe
 
@@ -50,3 +51,15 @@ def test_pipeline_stages_with_clashing_names_and_empty_tables(spark, tmp_path):
         assert stage(spark, df, str(tmp_path)).count() == len(rows)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
+
+
+def test_a_process_keeps_its_codec_and_learned_words(monkeypatch):
+    ranks = bpe.read_ranks(RANKS)
+    first = bpe.own_codec(("a", bpe.PATTERN), lambda: ranks, bpe.PATTERN)
+    want = first.texts(["some words, some words.", "words! "])
+    assert bpe.own_codec(("a", bpe.PATTERN), lambda: pytest.fail("read again"), bpe.PATTERN) is first
+    monkeypatch.setattr(bpe, "KEEP_UNITS", 1)  # every lookup may drop the elder generation
+    assert first.texts(["some words, some words.", "words! "]) == want
+    monkeypatch.setattr(first, "words", lambda part: pytest.fail("learned again"))
+    assert first.texts(["some words, some words."])[0] == want[0]
+    assert bpe.own_codec(("b", bpe.PATTERN), lambda: ranks, bpe.PATTERN) is not first
