@@ -23,7 +23,9 @@ from pyspark.sql import types as T
 #: The pre-token pattern of the rank file (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts are worked through in runs of about so many characters, words in runs of so many; bounds a task's memory.
-RUN_CHARS, RUN_WORDS, KEEP_UNITS = 1 << 20, 40_000, 200_000
+RUN_CHARS, RUN_WORDS = 1 << 20, 40_000
+#: A process keeps twice so many units and pre-tokens at most; others are learned again when they come.
+KEEP_UNITS, KEEP_WORDS = 200_000, 400_000
 #: A recursion keeps what every round made, at most the square of a word's bytes in rows; runs hold so many such rows.
 RUN_ROWS = 3_000_000
 #: Longer words, of which one alone can exceed any run, are merged by the same step in a table that is replaced per round.
@@ -76,10 +78,13 @@ class Cache(dict):
         return out
 
     def lacking(self, units: set[str]) -> set[str]:
-        if len(self) > KEEP_UNITS:
+        new = units.difference(self)
+        return {u for u in new if u not in self.elder} if self.elder else new
+
+    def turn(self, most: int) -> None:
+        if len(self) > most:
             self.elder = dict(self)
             self.clear()
-        return {u for u in units.difference(self) if u not in self.elder}
 
 
 class Codec:
@@ -142,6 +147,7 @@ class Codec:
 
     def _learn(self, units: set[str], caches: tuple[Cache, Cache], lead: str) -> None:
         pieces = {u: self._pieces(lead, u) for u in units}
+        self.known.turn(KEEP_WORDS)
         for part in _runs([p.encode() for p in self.known.lacking({p for ps in pieces.values() for p in ps})]):
             self.known.update(zip((p.decode() for p in part), zip(*self.words(part), strict=True), strict=True))
         ids, plain = caches
@@ -157,7 +163,9 @@ class Codec:
         cut = [_cut(x) for x in texts]
         for caches, units, lead in ((self.first, {x[0] for x in cut if x[0]}, ""),
                                     (self.rest, {u for x in cut for u in x[1:]}, " ")):
-            if new := caches[0].lacking(units) | caches[1].lacking(units):
+            for cache in caches:  # both hold the same units
+                cache.turn(KEEP_UNITS)
+            if new := caches[0].lacking(units):
                 self._learn(new, caches, lead)
         return [tuple((first[x[0]] if x[0] else b"") + b"".join(map(rest.__getitem__, x[1:]))
                       for first, rest in zip(self.first, self.rest, strict=True)) for x in cut]

@@ -58,8 +58,21 @@ def test_a_process_keeps_its_codec_and_learned_words(monkeypatch):
     first = bpe.own_codec(("a", bpe.PATTERN), lambda: ranks, bpe.PATTERN)
     want = first.texts(["some words, some words.", "words! "])
     assert bpe.own_codec(("a", bpe.PATTERN), lambda: pytest.fail("read again"), bpe.PATTERN) is first
-    monkeypatch.setattr(bpe, "KEEP_UNITS", 1)  # every lookup may drop the elder generation
+    monkeypatch.setattr(bpe, "KEEP_UNITS", 1)
+    monkeypatch.setattr(bpe, "KEEP_WORDS", 1)  # every lookup may drop the elder generation
     assert first.texts(["some words, some words.", "words! "]) == want
     monkeypatch.setattr(first, "words", lambda part: pytest.fail("learned again"))
     assert first.texts(["some words, some words."])[0] == want[0]
     assert bpe.own_codec(("b", bpe.PATTERN), lambda: ranks, bpe.PATTERN) is not first
+
+
+def test_caches_of_any_size_give_the_library_s_ids(monkeypatch):
+    library = tiktoken.Encoding("ranks", pat_str=bpe.PATTERN, mergeable_ranks=load_tiktoken_bpe(RANKS), special_tokens={})
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("etaoin", k=rng.randrange(1, 5))) + rng.choice(["", ",", "."]) for _ in range(rng.randrange(60))) for _ in range(80)]
+    monkeypatch.setattr(bpe, "KEEP_UNITS", 20)
+    monkeypatch.setattr(bpe, "KEEP_WORDS", 7)
+    codec = bpe.Codec(bpe.read_ranks(RANKS))
+    for i in range(0, 80, 4):
+        for text, (ids, plain) in zip(texts[i:i + 4], codec.texts(texts[i:i + 4]), strict=True):
+            assert ids == b"".join(x.to_bytes(4, "little") for x in library.encode_ordinary(text)) and plain.decode() == text
