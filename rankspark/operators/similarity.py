@@ -204,6 +204,29 @@ def within_vs_cross(df: DataFrame, key: str, vector: str, group: str, seed=0) ->
                                  F.min("c").alias("min"), F.max("c").alias("max"))
 
 
+def group_margins(df: DataFrame, vector: str, groups: Sequence[str]) -> DataFrame:
+    """V5: mean cosine of all pairs inside each group and of all pairs with one side in it, for every grouping column.
+
+    A sum of unit vectors holds the sum of all its pairs' cosines, so no pair is formed: one scan, one aggregate by group and
+    position. Null members of a grouping are one group; null and empty vectors take no part, zero vectors count with cosine 0;
+    a mean without pairs is null. Result: kind, member, n, within_mean, cross_mean, margin.
+    """
+    kinds = F.array(*[F.struct(F.lit(g).alias("kind"), F.col(g).cast("string").alias("member")) for g in groups])
+    cells = (df.select(kinds.alias("_k"), F.col(vector).alias("_v"), norm(vector).alias("_norm")).where("_norm is not null")
+             .select("_k", "_norm", F.posexplode("_v").alias("_i", "_x"))
+             .select("_i", F.when(F.col("_norm") > 0, F.col("_x").cast("double") / F.col("_norm")).otherwise(0.0).alias("_x"),
+                     flag(F.col("_norm") > 0).alias("_some"), F.inline("_k")))
+    sums = cells.groupBy("kind", "member", "_i").agg(F.sum("_x").alias("_s"), F.count("*").alias("_n"), F.sum("_some").alias("_m"))
+    whole = sums.groupBy(F.col("kind").alias("_kind"), F.col("_i").alias("_j")).agg(F.sum("_s").alias("_t"), F.sum("_n").alias("_all"))
+    g = sums.join(whole, (F.col("kind") == F.col("_kind")) & (F.col("_i") == F.col("_j"))).groupBy("kind", "member").agg(
+        F.max("_n").alias("n"), F.max("_m").alias("_m"), F.max("_all").alias("_all"),
+        F.sum(F.col("_s") * F.col("_s")).alias("_ss"), F.sum(F.col("_s") * F.col("_t")).alias("_st"))
+    inside, across = F.col("n") * (F.col("n") - 1), F.col("n") * (F.col("_all") - F.col("n"))
+    means = g.select("kind", "member", "n", F.when(inside > 0, (F.col("_ss") - F.col("_m")) / inside).alias("within_mean"),
+                     F.when(across > 0, (F.col("_st") - F.col("_ss")) / across).alias("cross_mean"))
+    return means.withColumn("margin", F.col("within_mean") - F.col("cross_mean"))
+
+
 def vector_top_k(queries: DataFrame, pool: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding",
                  pivots: int = 16, block: int = 2048, exclude_self: bool = False) -> DataFrame:
     """Exact k nearest by cosine: (query_key, pool_key, cosine, rank).

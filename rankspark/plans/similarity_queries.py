@@ -173,6 +173,24 @@ def within_vs_cross(spark, d):
     return rounded(V.within_vs_cross(vectors(spark, d), "vec_id", "embedding", "label"), "mean", "std", "min", "max")
 
 
+#: All pairs of differences, which the Spark side never forms.
+MARGINS = RING + """, dl AS (SELECT new_id AS id, [nv[i]-ov[i] FOR i IN range(1,len(ov)+1)] AS v, label FROM rp),
+un AS (SELECT *, sqrt(list_sum([x*x FOR x IN v])) AS nm FROM dl),
+gr AS (SELECT id, 'transform' AS kind, label::VARCHAR AS member FROM dl UNION ALL SELECT id, 'context', (id%3)::VARCHAR FROM dl UNION ALL SELECT id, 'both', label||':'||(id%3) FROM dl UNION ALL SELECT id, 'random', substr(md5('0|'||id),1,1) FROM dl),
+pr AS (SELECT a.id AS x, b.id AS y, list_sum([a.v[i]*b.v[i] FOR i IN range(1,len(a.v)+1)])/greatest(a.nm*b.nm,1e-12) AS c FROM un a JOIN un b ON a.id<>b.id),
+mg AS (SELECT g.kind, g.member, count(DISTINCT x) AS n, avg(c) FILTER (h.member=g.member) AS w, avg(c) FILTER (h.member<>g.member) AS a FROM pr JOIN gr g ON g.id=x JOIN gr h ON h.id=y AND h.kind=g.kind GROUP BY 1,2)"""
+
+
+@query("group_margins", "V5", "WITH " + MARGINS + " SELECT kind, member, n, round(w,6) AS within_mean, round(a,6) AS cross_mean, round(w-a,6) AS margin FROM mg")
+def group_margins(spark, d):
+    """Differences that share the transform, the context, both, or a random draw."""
+    p = V.delta_vectors(V.ring_pairs(vectors(spark, d), "vec_id", "embedding", 5, ["label"]))
+    context = F.pmod("new_id", F.lit(3)).cast("string")
+    g = p.select("delta", F.col("label").alias("transform"), context.alias("context"), F.concat_ws(":", F.col("label").cast("string"), context).alias("both"),
+                 F.substring(F.md5(F.concat(F.lit("0|"), F.col("new_id").cast("string"))), 1, 1).alias("random"))
+    return rounded(V.group_margins(g, "delta", ["transform", "context", "both", "random"]), "within_mean", "cross_mean", "margin")
+
+
 TOPK = EM + """, tk AS (SELECT a.vec_id AS query_key, b.vec_id AS pool_key, a.label AS lq, b.label AS lp, round(list_sum([a.v[i]*b.v[i] FOR i IN range(1,len(a.v)+1)])/greatest(a.nm*b.nm,1e-12),9) AS cosine,
  row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_sum([a.v[i]*b.v[i] FOR i IN range(1,len(a.v)+1)])/greatest(a.nm*b.nm,1e-12),9) DESC, b.vec_id) AS rank FROM em a JOIN em b ON a.vec_id<>b.vec_id)"""
 
