@@ -10,6 +10,7 @@ from rankspark.operators import filters as FL
 from rankspark.operators import quantiles as Q
 from rankspark.plans import fixtures as fx
 from rankspark.plans.registry import query
+from rankspark.session import broadcast_when_small
 from rankspark.sources import audit as A
 from rankspark.sources import tables as TB
 
@@ -201,10 +202,11 @@ def candidate_flags(spark, d):
          .agg(F.max("p_size").alias("size"), F.max("p_type").alias("kind"), fx._cents_avg("p_retailprice").alias("price")))
     top = Q.exact_quantiles(c, "price", [0.95], names=["q"])
     f = lambda x: F.when(x, 1).otherwise(0)
-    return c.withColumn("_q", top.scalar()).select(
+    flags = c.withColumn("_q", top.scalar()).select(
         "candidate", f(F.col("price") > F.col("_q")).alias("reject"), f(F.col("size") > 40).alias("warning"),
         f(F.col("size") % 7 == 0).alias("geometry"), f(F.col("size") <= 30).alias("ready"),
         f((F.col("kind") == "PROMO") & (F.col("size") <= 2)).alias("pending"))
+    return broadcast_when_small(flags)[0]
 
 
 #: Labels of the tiers (fixed values).
