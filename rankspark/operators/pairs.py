@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from rankspark.functions.hashing import hash_int, hash_order, joined, stable_hash
 from rankspark.operators.ranking import md5_bucket_row_number
 from rankspark.schema import flag
-from rankspark.session import cut_lineage
+from rankspark.session import BROADCAST_ROWS, broadcast_when_small, cut_lineage
 
 BLOCK = 128
 #: Size from which the report of groups flags one as large.
@@ -193,15 +193,72 @@ def content_order(props: DataFrame, need: DataFrame, content: Content, fragment=
             .select("anchor", F.col("member").alias("candidate"), "_i"))
 
 
+def _in_order(pool: DataFrame, on: Sequence[str], place: str, member: str, name: str) -> DataFrame:
+    """One row per key with the members of its pool by place."""
+    members = F.transform(F.array_sort(F.collect_list(F.struct(place, member))), lambda s: s[member])
+    return pool.groupBy(*on).agg(members.alias(name))
+
+
+def listed_negatives(records: DataFrame, queries: DataFrame, keys: Sequence[str], mode: str, seed, pool_keys: Sequence[str],
+                     content: Content | None, props: DataFrame | None, fragment: str, max_pool: int) -> DataFrame | None:
+    """``queries`` with ``_own``, the fragments of its group, and ``_negatives``, an array of (candidate, tier); None beyond
+    ``max_pool`` rows of a pool.
+
+    The pools are short next to the draws, so they travel to the queries: a query reads its places, drops its own fragments
+    and keeps what it wants inside its row. No draw is joined, sorted or moved.
+    """
+    own = records.where(F.col(fragment).isNotNull()).groupBy(*keys).agg(F.collect_set(fragment).alias("_own"))
+    base = queries.join(own, list(keys), "left").withColumn("_own", F.coalesce("_own", F.array().cast("array<string>")))
+    reach, start = F.col("want") + F.col("n_fragments"), hash_int(F.col("query_id"))
+    free = lambda a: F.filter(a, lambda c: ~F.coalesce(F.array_contains("_own", c), F.lit(False)))
+    tier = lambda a, i: F.transform(a, lambda c: F.struct(c.alias("candidate"), F.lit(i).alias("tier")))
+
+    def walk(twice: Column, n: Column, steps: Column) -> Column:
+        return F.slice(twice, F.pmod(start, n).cast("int") + 1, F.greatest(F.least(steps, n), F.lit(0)).cast("int"))
+    if mode == "content":
+        need = base.groupBy("anchor").agg(F.max(reach).alias("_need"))
+        best, small = broadcast_when_small(content_order(props.where(F.col(fragment).isNotNull()), need, content, fragment), max_pool)
+        if not small:
+            return None
+        lists = F.broadcast(_in_order(best, ["anchor"], "_i", "candidate", "_list"))
+        drawn = tier(free(F.col("_list")), 0)
+        base = base.join(lists, "anchor")
+    else:
+        everything, small = broadcast_when_small(_pool(records, [], seed, fragment)[0], max_pool)
+        if not small:
+            return None
+        whole = _in_order(everything, [], "_p", "_f", "_list").select(F.concat("_list", "_list").alias("_all"), F.greatest(F.size("_list"), F.lit(1)).alias("_n"))
+        base = base.crossJoin(F.broadcast(whole))
+        twice, n = F.col("_all"), F.col("_n")
+        if mode == "easy":
+            drawn = tier(free(walk(twice, n, reach)), 0)
+        else:
+            near, small = broadcast_when_small(_pool(records, pool_keys, seed, fragment)[0], max_pool)
+            if not small:
+                return None
+            lists = _in_order(near, pool_keys, "_p", "_f", "_list").select(*pool_keys, F.concat("_list", "_list").alias("_twice"), F.size("_list").alias("_size"))
+            base = base.join(F.broadcast(lists), list(pool_keys), "left")
+            base = base.withColumn("_near", F.coalesce(walk(F.col("_twice"), F.col("_size"), reach), F.array().cast("array<string>")))
+            rest = F.array_except(walk(twice, n, reach * 2), F.col("_near"))
+            drawn = F.concat(tier(free(F.col("_near")), 0), tier(free(rest), 1))
+    return base.withColumn("_negatives", F.slice(drawn, 1, F.greatest(F.col("want"), F.lit(0)))).select(*queries.columns, "_own", "_negatives")
+
+
 def negatives(records: DataFrame, queries: DataFrame, keys: Sequence[str], mode: str = "easy", seed=7,
               pool_keys: Sequence[str] = (), content: Content | None = None, props: DataFrame | None = None,
-              fragment="fragment") -> DataFrame:
-    """Requested negatives per query, never a fragment of the query's own group.
+              fragment="fragment", carry: Sequence[str] = (), max_pool: int = BROADCAST_ROWS) -> DataFrame:
+    """Requested negatives per query, never a fragment of the query's own group: query_id, candidate, tier and the
+    columns of the query named in ``carry``.
 
     easy: hash order over the whole vocabulary. same_target: the pool of ``pool_keys`` first, then the vocabulary.
-    content: highest content score first, over all fragments of ``props``.
+    content: highest content score first, over all fragments of ``props``. Pools of more than ``max_pool`` rows are joined.
     """
-    keys, pool_keys = list(keys), list(pool_keys)
+    keys, pool_keys, carry = list(keys), list(pool_keys), list(carry)
+    if mode not in ("easy", "same_target", "content"):
+        raise ValueError(f"unsupported negative mode: {mode}")
+    lists = listed_negatives(records, queries, keys, mode, seed, pool_keys, content, props, fragment, max_pool)
+    if lists is not None:
+        return lists.select("query_id", *carry, F.explode("_negatives").alias("_e")).select("query_id", "_e.*", *carry)
     own = records.select(*keys, F.col(fragment).alias("candidate")).distinct()
     base = queries.select("query_id", *keys, "anchor", "n_fragments", "want")
     everything, size = _pool(records, [], seed, fragment)
@@ -215,28 +272,37 @@ def negatives(records: DataFrame, queries: DataFrame, keys: Sequence[str], mode:
         rest = _walk(base.withColumn("_size", size.scalar()), everything, [], reach * 2, 1)
         drawn = first.unionByName(rest).groupBy("query_id", "candidate").agg(
             F.min(F.struct("tier", "_i")).alias("_s")).select("query_id", "candidate", "_s.tier", "_s._i")
-    elif mode == "content":
+    else:
         # the score depends on (anchor, candidate) only: rank once per anchor, then serve all of its queries
         need = base.groupBy("anchor").agg(F.max(reach).alias("_need"))
         best = content_order(props.where(F.col(fragment).isNotNull()), need, content, fragment)
         drawn = base.select("query_id", "anchor").join(best, "anchor").select(
             "query_id", "candidate", F.lit(0).alias("tier"), "_i")
-    else:
-        raise ValueError(f"unsupported negative mode: {mode}")
     free = (drawn.join(base.select("query_id", *keys, "want"), "query_id")
             .join(own, [*keys, "candidate"], "left_anti"))
     w = Window.partitionBy("query_id").orderBy(*rank, "candidate")
-    return (free.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= F.col("want"))
-            .select("query_id", "candidate", "tier"))
+    out = free.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= F.col("want")).select("query_id", "candidate", "tier")
+    return out.join(queries.select("query_id", *carry), "query_id") if carry else out
 
 
 def build_candidate_matrix(records: DataFrame, keys: Sequence[str], dataset: str = "matrix", mode: str = "easy",
                            ratio: int = 5, min_candidates: int = 20, fragment="fragment", entity="entity",
-                           **kw) -> DataFrame:
-    """Positives from pair mining, negatives from :func:`negatives`; queries without negatives are left out."""
+                           seed=7, pool_keys: Sequence[str] = (), content: Content | None = None, props: DataFrame | None = None,
+                           max_pool: int = BROADCAST_ROWS) -> DataFrame:
+    """Positives are the pairs of the query's group, negatives those of :func:`negatives`; queries without negatives are
+    left out. Next to short pools a query's rows are made from its own row."""
     keys = list(keys)
     q = matrix_queries(records, keys, dataset, ratio=ratio, min_candidates=min_candidates, fragment=fragment,
                        entity=entity)
+    kw = dict(seed=seed, pool_keys=list(pool_keys), content=content, props=props)
+    lists = listed_negatives(records, q, keys, mode, fragment=fragment, max_pool=max_pool, **kw)
+    if lists is not None:
+        row = lambda c, y: F.struct(c.alias("candidate"), F.lit(y).alias("label"))
+        rows = F.concat(F.transform(F.filter("_own", lambda c: c != F.col("anchor")), lambda c: row(c, 1)),
+                        F.transform("_negatives", lambda e: row(e["candidate"], 0)))
+        return (lists.where(F.size("_negatives") > 0).withColumn("_e", F.explode(rows))
+                .select("query_id", "_e.*", *keys, "anchor", "n_fragments", "support", "n_positive").withColumn("dataset", F.lit(dataset)))
+    kw["max_pool"] = max_pool
     neg = negatives(records, q, keys, mode, fragment=fragment, **kw).select("query_id", "candidate").withColumn(
         "label", F.lit(0))
     pairs = mine_pairs(records, keys, fragment, entity)
@@ -256,9 +322,31 @@ def matrix_audit(matrix: DataFrame) -> DataFrame:
         F.struct(*keys.columns)).scalar()).select(*sizes.columns, "_k.*")
 
 
+#: Comparisons a fact up to which facts meet by condition first.
+MEETINGS_PER_FACT = 64
+
+
 def comparable_pairs(pairs: DataFrame, facts: DataFrame, on: Sequence[str], value="value",
                      entity="entity") -> DataFrame:
-    """Both sides of a pair measured under the same conditions; delta = new - old."""
+    """Both sides of a pair measured under the same conditions; delta = new - old.
+
+    Facts meet under their condition, once for both directions, and what has met is joined with the pairs: a pair is not
+    repeated for every fact of its old side. Where conditions hold so many facts that this would be more than
+    ``MEETINGS_PER_FACT`` meetings a fact, the pairs are joined with the facts of their old side instead.
+    """
+    sizes = facts.groupBy(*on).agg(F.count("*").cast("double").alias("n"))
+    total = sizes.agg(F.sum("n"), F.sum(F.col("n") * F.col("n")) / 2).first()
+    if total[0] and total[1] <= MEETINGS_PER_FACT * total[0]:
+        a = facts.select(F.col(entity).alias("_a"), *on, F.col(value).alias("_va"))
+        b = facts.select(F.col(entity).alias("_b"), *on, F.col(value).alias("_vb"))
+        met = a.join(b, list(on)).where(F.col("_a") <= F.col("_b"))
+        ordered = pairs.withColumns({"_a": F.least("old_id", "new_id"), "_b": F.greatest("old_id", "new_id")}).where(
+            "old_id is not null and new_id is not null")
+        ahead = F.col("old_id") <= F.col("new_id")
+        sides = {"_old": F.when(ahead, F.col("_va")).otherwise(F.col("_vb")), "_new": F.when(ahead, F.col("_vb")).otherwise(F.col("_va"))}
+        return (ordered.join(met, ["_a", "_b"]).withColumns(sides).drop("_a", "_b", "_va", "_vb")
+                .withColumn("delta", F.col("_new") - F.col("_old")).select(
+                    "new_id", *on, "old_id", *[c for c in pairs.columns if c not in ("new_id", "old_id")], "_old", "_new", "delta"))
     old = facts.select(F.col(entity).alias("old_id"), *on, F.col(value).alias("_old"))
     new = facts.select(F.col(entity).alias("new_id"), *on, F.col(value).alias("_new"))
     return (pairs.join(old, "old_id").join(new, ["new_id", *on])
@@ -268,6 +356,7 @@ def comparable_pairs(pairs: DataFrame, facts: DataFrame, on: Sequence[str], valu
 def delta_summary(compared: DataFrame, key="pair_id") -> DataFrame:
     """Per pair median, extremes and number of comparisons."""
     from rankspark.operators.quantiles import exact_quantiles
+    compared = cut_lineage(compared.select(key, "delta"))
     base = compared.groupBy(key).agg(F.count("*").alias("n"), F.min("delta").alias("min_delta"),
                                      F.max("delta").alias("max_delta"))
     return base.join(exact_quantiles(compared, "delta", [0.5], [key], ["median_delta"]), key)

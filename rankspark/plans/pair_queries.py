@@ -98,8 +98,7 @@ def negatives_same_target(spark, d):
     from rankspark.functions.hashing import hash_int, joined
     r = _records(spark, d)
     q = PR.matrix_queries(r, KEYS, "shop")
-    n = PR.negatives(r, q, KEYS, "same_target", pool_keys=["priority", "context"]).join(
-        q.select("query_id", "context"), "query_id")
+    n = PR.negatives(r, q, KEYS, "same_target", pool_keys=["priority", "context"], carry=["context"])
     return n.groupBy("context", "tier").agg(F.count("*").alias("n"), F.countDistinct("query_id").alias("queries"),
                                             F.sum(hash_int(joined("query_id", "candidate"))).alias("fingerprint"))
 
@@ -115,8 +114,8 @@ def negatives_content_matched(spark, d):
     from rankspark.functions.hashing import hash_int, joined
     r = _records(spark, d)
     q = PR.matrix_queries(r, KEYS, "shop")
-    n = PR.negatives(r, q, KEYS, "content", content=PR.Content({"size": 0.25}, {"kind": 0.75}), props=r.select("fragment", "kind", "size").distinct())
-    return n.join(q.select("query_id", "context"), "query_id").groupBy("context").agg(
+    n = PR.negatives(r, q, KEYS, "content", content=PR.Content({"size": 0.25}, {"kind": 0.75}), props=r.select("fragment", "kind", "size").distinct(), carry=["context"])
+    return n.groupBy("context").agg(
         F.count("*").alias("n"), F.countDistinct("query_id").alias("queries"),
         F.sum(hash_int(joined("query_id", "candidate"))).alias("fingerprint"))
 
