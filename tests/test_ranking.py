@@ -111,3 +111,18 @@ def test_md5_permutation_keeps_positives(spark):
     p = permute_within_query(s, 5)
     assert p.groupBy("query_id").agg(F.sum("label").alias("p")).where("p != 1").count() == 0
     assert p.where("label = 1").join(s.where("label = 1"), ["query_id", "candidate"]).count() < 24
+
+
+def test_pairs_of_a_table_by_query_move_no_row(spark):
+    rows = [row(f"q{q}", f"c{c}", int(c < q), 0.1 * c) for q in range(4) for c in range(9)]
+    m = frame(spark, rows).repartition(4, "query_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        p = SA.pos_neg_pairs(m, ["sim"], 7, 1)
+        assert "ENSURE_REQUIREMENTS" not in p._jdf.queryExecution().executedPlan().toString()
+        got = p.where("label = 1").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    n = {q: sum(r.query_id == q for r in got) for q in ("q0", "q1", "q2", "q3")}
+    assert n == {"q0": 0, "q1": 7, "q2": 7, "q3": 7} and len({(r.query_id, r.candidate, r.negative) for r in got}) == 21
+    assert all(abs(r.diff[0] - 0.1 * (int(r.candidate[1:]) - int(r.negative[1:]))) < 1e-9 for r in got)
