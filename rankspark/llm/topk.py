@@ -10,14 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankspark.llm.common import written
 
-#: Rows of a block, and blocks (or queries) of a group: a task holds one group of each side, about 64 x 4096 numbers.
-BLOCK, GROUP = 128, 4096
+#: Rows of a block, rows of a group of either side on average (a task holds one of each, about 64 x 65,536 numbers), and queries
+#: that are scored together.
+BLOCK, GROUP, QUERIES = 128, 65_536, 4096
 
 
 def quantised(df: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
@@ -36,17 +36,11 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def _pack(group: Column, df: DataFrame, width: int) -> DataFrame:
-    """One row per group: ids and the matrix as bytes. A group is bounded by GROUP rows on average."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
-        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "ids": [pdf["id"].to_numpy(np.int64).tobytes()],
-                             "m": [_matrix(pdf["v"], width).tobytes()]})
-    return df.withColumn("g", group).groupBy("g").applyInPandas(run, "g long, ids binary, m binary")
-
-
 def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
     """The k best (query, candidate, score) of one group of candidates, other than the query's own row."""
+    for at in range(QUERIES, len(q), QUERIES):
+        yield from search(q_ids[at:at + QUERIES], q[at:at + QUERIES], ids, m, k)
+    q_ids, q = q_ids[:QUERIES], q[:QUERIES]
     starts = np.arange(0, len(ids), BLOCK)
     least, most = np.minimum.reduceat(m, starts, axis=0), np.maximum.reduceat(m, starts, axis=0)
     bounds = np.maximum(q, 0) @ most.T + np.minimum(q, 0) @ least.T
@@ -63,6 +57,8 @@ def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k:
             lo, hi = starts[b], min(starts[b] + BLOCK, len(ids))
             scores = q[rows] @ m[lo:hi].T
             scores[ids[None, lo:hi] == q_ids[rows, None]] = -np.inf
+            better = (scores >= kth[rows, None]).any(axis=1)
+            rows, scores = rows[better], scores[better]
             all_s = np.concatenate([best_s[rows], scores], axis=1)
             all_i = np.concatenate([best_i[rows], np.broadcast_to(ids[lo:hi], scores.shape)], axis=1)
             top = np.lexsort((all_i, -all_s), axis=1)[:, :k]
@@ -79,31 +75,29 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vecto
     vectors count as zero in missing places. Null ids and unusable vectors take no part; rows that repeat an id are searched
     and asked once, by their least vector; an empty table gives no rows; other columns are not read.
 
-    Groups of queries meet groups of candidates in an equi-join on the candidates' group, so memory is that of one group of
-    each; a limited window keeps the k best.
+    Groups of queries meet groups of candidates, each pair in a cogroup of its own: a candidate moves once per group of queries,
+    nothing is broadcast, memory is that of one group of each. A limited window keeps the k best.
     """
     rows = written(quantised(df, key, vector, scale).groupBy("id").agg(F.min("v").alias("v")), "vectors")
-    stats = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0)), F.count_if(F.col("id") % every == 0)).first()
-    n, width, asked = stats
-    groups, q_groups = max(1, -(-n // GROUP)), max(1, -(-asked // GROUP))
-    # ranges of ids make the groups: blocks are ranges of documents
-    cut = F.pmod(F.xxhash64("id"), F.lit(q_groups))
-    docs = written(_pack(F.pmod(F.xxhash64(F.floor(F.col("id") / BLOCK)), F.lit(groups)), rows, width), "blocks")
-    asks = written(_pack(cut, rows.where(F.col("id") % every == 0), width), "asks").select(
-        F.col("ids").alias("q_ids"), F.col("m").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                q_ids, q, ids, m = (np.frombuffer(c[i].as_py(), t) for c, t in zip(batch.columns, ("<i8", "<f8", "<i8", "<f8"), strict=True))
-                got = list(search(q_ids, q.reshape(-1, width), ids, m.reshape(-1, width), k))
-                a, b, s = zip(*got, strict=True) if got else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.array(s, np.float64).astype(np.int64))],
-                                                 names=["query_id", "vec_id", "score"])
+    n, width, asked = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0)), F.count_if(F.col("id") % every == 0)).first()
     if not width:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = docs.join(asks.repartition(max(1, min(groups * q_groups, 4 * df.sparkSession.sparkContext.defaultParallelism)), "g"), "g")
-    scored = found.select("q_ids", "q", "ids", "m").mapInArrow(run, "query_id long, vec_id long, score long")
+    # small tables are spread too
+    groups = max(-(-n // GROUP), min(2 * df.sparkSession.sparkContext.defaultParallelism, -(-n // QUERIES)))
+    q_groups = max(1, -(-asked // GROUP))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # ranges of ids make the groups: blocks are ranges of documents
+    docs = rows.withColumn("d", F.pmod(F.xxhash64(F.floor(F.col("id") / BLOCK)), F.lit(groups))).withColumn("q", each(q_groups))
+    asks = rows.where(F.col("id") % every == 0).withColumn("q", F.pmod(F.xxhash64("id"), F.lit(q_groups))).withColumn("d", each(groups))
+    cell = (F.col("q") * groups + F.col("d")).cast("int").alias("cell")
+    asks, docs = (x.select(cell, "id", "v").repartition(2 * groups * q_groups, "cell").groupBy("cell") for x in (asks, docs))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("id", kind="stable")
+        q_ids, ids = left["id"].to_numpy(np.int64), right["id"].to_numpy(np.int64)
+        got = search(q_ids, _matrix(left["v"], width), ids, _matrix(right["v"], width), k) if len(q_ids) and len(ids) else ()
+        return pd.DataFrame(got, columns=["query_id", "vec_id", "score"]).astype("int64")
+    scored = asks.cogroup(docs).applyInPandas(run, "query_id long, vec_id long, score long")
     # each task keeps its k best per query before the shuffle
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

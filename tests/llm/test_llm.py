@@ -442,6 +442,17 @@ def test_top_k_equals_brute_force(spark, n):
     assert {tuple(x) for x in topk.top_k(df).collect()} == want
 
 
+def test_top_k_broadcasts_nothing_and_groups_do_not_change_it(spark, monkeypatch):
+    r = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, [float(v) for v in r.integers(-3, 4, 4)]) for i in range(600)], "vec_id long, embedding array<double>")
+    whole = topk.top_k(df, every=5)
+    assert "Broadcast" not in whole._jdf.queryExecution().toString()
+    monkeypatch.setattr(topk, "GROUP", 50)
+    monkeypatch.setattr(topk, "QUERIES", 16)
+    monkeypatch.setattr(topk, "BLOCK", 8)
+    assert sorted(topk.top_k(df, every=5).collect()) == sorted(whole.collect())
+
+
 def test_search_stops_early_and_stays_exact():
     r = np.random.default_rng(4)
     m = np.repeat(r.integers(-200, 200, (40, 8)), topk.BLOCK, axis=0).astype(float) + r.integers(0, 3, (40 * topk.BLOCK, 8))
