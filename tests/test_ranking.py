@@ -126,3 +126,20 @@ def test_pairs_of_a_table_by_query_move_no_row(spark):
     n = {q: sum(r.query_id == q for r in got) for q in ("q0", "q1", "q2", "q3")}
     assert n == {"q0": 0, "q1": 7, "q2": 7, "q3": 7} and len({(r.query_id, r.candidate, r.negative) for r in got}) == 21
     assert all(abs(r.diff[0] - 0.1 * (int(r.candidate[1:]) - int(r.negative[1:]))) < 1e-9 for r in got)
+
+
+def test_nearest_negatives_equals_all_pairs_and_moves_nothing(spark):
+    """Ties in score and gap, positives without negatives, fewer negatives than asked for; rows that lie by query stay there."""
+    import random
+    r = random.Random(2)
+    rows = [(f"q{q}", f"c{i}", float(r.randint(0, 12)), int(r.random() < 0.2)) for q in range(30) for i in range(r.randint(1, 25))]
+    want = set()
+    for q, c, s, y in rows:
+        if y:
+            near = sorted((abs(s - t), d) for p, d, t, z in rows if p == q and not z)[:3]
+            want |= {(q, c, 1)} | {(q, d, 0) for _, d in near}
+    df = spark.createDataFrame(rows, "query_id string, candidate string, sim double, label int").repartition(3, "query_id")
+    got = R.nearest_negatives(df, "sim", 3)
+    assert sorted((x.query_id, x.candidate, x.label) for x in got.collect()) == sorted(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" in plan and "ENSURE_REQUIREMENTS" not in plan
