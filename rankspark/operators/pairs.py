@@ -363,25 +363,20 @@ def delta_summary(compared: DataFrame, key="pair_id") -> DataFrame:
 
 
 def pair_join_audit(pairs: DataFrame, facts: DataFrame, target: str, condition: str, entity="entity") -> DataFrame:
-    """Per pair whether both sides have facts, a common target, a common condition, both at once."""
-    def shared(cols, name):
-        f = facts.select(entity, *cols).distinct()
-        a = f.withColumnRenamed(entity, "old_id")
-        b = f.withColumnRenamed(entity, "new_id")
-        return (pairs.select("pair_id", "old_id", "new_id").join(a, "old_id").join(b, ["new_id", *cols])
-                .select("pair_id").distinct().withColumn(name, F.lit(1)))
-    have = facts.select(entity).distinct()
-    both = (pairs.select("pair_id", "old_id", "new_id")
-            .join(have.select(F.col(entity).alias("old_id")), "old_id", "left_semi")
-            .join(have.select(F.col(entity).alias("new_id")), "new_id", "left_semi")
-            .select("pair_id").distinct().withColumn("both_have", F.lit(1)))
-    out = pairs.select("pair_id").distinct()
-    flags = {"both_have": both, "same_target": shared([target], "same_target"),
-             "same_condition": shared([condition], "same_condition"),
-             "comparable": shared([target, condition], "comparable")}
-    for f in flags.values():
-        out = out.join(f, "pair_id", "left")
-    return out.na.fill(0, list(flags))
+    """Per pair whether both sides have facts, a common target, a common condition, both at once.
+
+    An entity's targets and conditions travel as sets, so a pair is one row however many facts its sides have.
+    """
+    met = F.col(target).isNotNull() & F.col(condition).isNotNull()
+    sets = facts.groupBy(entity).agg(F.collect_set(target).alias("t"), F.collect_set(condition).alias("c"),
+                                     F.collect_set(F.when(met, F.struct(target, condition))).alias("b"))
+    side = lambda name: sets.select(F.col(entity).alias(name), F.struct("t", "c", "b").alias(f"_{name}"))
+    p = pairs.select("pair_id", "old_id", "new_id").join(side("old_id"), "old_id", "left").join(side("new_id"), "new_id", "left")
+    shared = lambda x: F.arrays_overlap(F.col("_old_id")[x], F.col("_new_id")[x])
+    flags = {"both_have": F.col("_old_id").isNotNull() & F.col("_new_id").isNotNull(), "same_target": shared("t"),
+             "same_condition": shared("c"), "comparable": shared("b")}
+    p = p.select("pair_id", *[flag(F.coalesce(f, F.lit(False))).alias(n) for n, f in flags.items()])
+    return p.groupBy("pair_id").agg(*[F.max(n).alias(n) for n in flags])
 
 
 def property_matched(requests: DataFrame, pool: DataFrame, n: int, seed, key="context", bin="bin",

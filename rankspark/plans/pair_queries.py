@@ -143,7 +143,8 @@ def comparable_pairs(spark, d):
  (SELECT count(DISTINCT pair_id) FROM pairs p JOIN (SELECT DISTINCT entity, month FROM facts) a ON a.entity=p.old_id JOIN (SELECT DISTINCT entity, month FROM facts) b ON b.entity=p.new_id AND a.month=b.month) AS same_condition,
  (SELECT count(DISTINCT pair_id) FROM pairs p JOIN facts a ON a.entity=p.old_id JOIN facts b ON b.entity=p.new_id AND a.month=b.month AND a.target=b.target) AS comparable FROM pairs""")
 def pair_join_audit(spark, d):
-    a = PR.pair_join_audit(PR.mine_pairs(fx.fragments(spark, d)), facts(spark, d), "target", "month")
+    month = F.year("month") * 12 + F.month("month")
+    a = PR.pair_join_audit(PR.mine_pairs(fx.fragments(spark, d)), facts(spark, d).withColumn("month", month), "target", "month")
     return a.agg(F.count("*").alias("pairs"), *[F.sum(c).cast("bigint").alias(c) for c in (
         "both_have", "same_target", "same_condition", "comparable")])
 

@@ -76,3 +76,24 @@ def test_content_order_is_exact_over_many_fragments(spark):
         score = {f: 0.75 * (k is not None and k == a) + 0.5 * near(s, b) + 0.25 * near(g, c) for f, (a, b, c) in known.items()}
         want = sorted(known, key=lambda f: (score[f], hashlib.md5(f.encode()).hexdigest()), reverse=True)[:n]
         assert [f for _, f in sorted(got[anchor])] == want
+
+
+def test_pair_join_audit_equals_all_meetings_and_lists_none(spark):
+    """Null targets and conditions meet nothing; a pair stays one row however many facts its sides have."""
+    import random
+    from rankspark.operators import pairs as PR
+    r = random.Random(6)
+    pairs = [(f"p{i}", r.choice([*range(8), None]), r.choice([*range(8), None])) for i in range(60)]
+    facts = [(r.choice([*range(6), None]), r.choice([1, 2, 3, 4, None]), r.choice(["a", "b", "c", None])) for _ in range(40)]
+    of = lambda e: [f for f in facts if e is not None and f[0] == e]
+    want = set()
+    for p, a, b in pairs:
+        met = [(x, y) for x in of(a) for y in of(b)]
+        t = lambda x, y: x[1] is not None and x[1] == y[1]
+        c = lambda x, y: x[2] is not None and x[2] == y[2]
+        want.add((p, int(bool(met)), *(int(any(f(x, y) for x, y in met)) for f in (t, c, lambda x, y: t(x, y) and c(x, y)))))
+    got = PR.pair_join_audit(spark.createDataFrame(pairs, "pair_id string, old_id long, new_id long"),
+                             spark.createDataFrame(facts, "entity long, target long, month string"), "target", "month")
+    assert {tuple(x) for x in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2
