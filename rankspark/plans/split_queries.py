@@ -10,7 +10,6 @@ from rankspark.plans import fixtures as fx
 from rankspark.plans.fusion_queries import WIDE, wide
 from rankspark.plans.prior_queries import rounded
 from rankspark.plans.registry import query
-from rankspark.session import cut_lineage
 
 
 def side_sql(col: str, seed: str, name: str = "sd", src: str = "m", frac: str = "0.7") -> str:
@@ -45,17 +44,17 @@ te AS (SELECT * FROM m WHERE query_id IN (SELECT query_id FROM tq) AND NOT (labe
 
 @query("value_heldout_split", "L4", fx.sql(report_sql("candidate"), _held("candidate", "1", True)))
 def value_heldout_split(spark, d):
-    return L.flag_report(cut_lineage(L.flagged_split(fx.matrix(spark, d), "candidate", seed=1, exclude_test_queries=True)), "candidate")
+    return L.flag_report(L.flagged_split(fx.matrix(spark, d), "candidate", seed=1, exclude_test_queries=True), "candidate")
 
 
 @query("strict_heldout_split", "L5", fx.sql(report_sql("candidate"), _held("candidate", "2", False, True)))
 def strict_heldout_split(spark, d):
-    return L.flag_report(cut_lineage(L.flagged_split(fx.matrix(spark, d), "candidate", seed=2, strict=True)), "candidate")
+    return L.flag_report(L.flagged_split(fx.matrix(spark, d), "candidate", seed=2, strict=True), "candidate")
 
 
 @query("core_heldout_split", "L6", fx.sql(report_sql("context"), _held("context", "3", False)))
 def core_heldout_split(spark, d):
-    return L.flag_report(cut_lineage(L.flagged_split(fx.matrix(spark, d), "context", seed=3)), "context")
+    return L.flag_report(L.flagged_split(fx.matrix(spark, d), "context", seed=3), "context")
 
 
 @query("inner_folds", "L7", fx.sql("""SELECT f AS fold, (SELECT count(*) FROM m WHERE candidate NOT IN (SELECT candidate FROM v WHERE v.f=x.f) AND query_id NOT IN (SELECT query_id FROM m JOIN v ON v.candidate=m.candidate WHERE label=1 AND v.f=x.f)) AS train_rows,

@@ -102,3 +102,13 @@ def test_shards_cut_only_keys_above_the_bound(spark, tmp_path):
     assert per.pop("hot")[0] == 1000 and per.pop(None) == (5, 1)
     assert all(v == (10, 1) for v in per.values()) and len(per) == 40
     assert back.groupBy("f").count().agg(F.max("count")).first()[0] <= 100
+
+
+def test_flagged_split_writes_values_only(spark, monkeypatch):
+    """The matrix itself is not written: its rows come anew from what it is made of."""
+    written, real = [], L.cut_lineage
+    monkeypatch.setattr(L, "cut_lineage", lambda df: written.append(df.columns) or real(df))
+    rows = [(f"q{i % 4}", f"c{i}", int(i % 3 == 0)) for i in range(24)]
+    df = spark.createDataFrame(rows, "query_id string, candidate string, label int")
+    got = L.flagged_split(df, "candidate", seed=1)
+    assert got.count() == 24 and written and all("query_id" not in c for c in written)
